@@ -11,9 +11,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from samplewright.operators import comparison, survey
+from samplewright.operators import comparison, precision, survey
 from samplewright.operators.bootstrap import bootstrap_groups, bootstrap_two
-from samplewright.plans.studies import coverage_curve, precision_tables, resample_with_ci
+from samplewright.plans.studies import coverage_curve, resample_with_ci
 from samplewright.session import build_session
 from samplewright.sources.files import stage
 
@@ -44,8 +44,8 @@ def main() -> None:
         "resample_with_ci_staged": lambda: stage(resample_with_ci(customers, G, V, UNIT)),
         "coverage_curve_end_to_end": lambda: run(coverage_curve(resample_with_ci(customers, G, V, UNIT), G)),
         "coverage_curve_from_staged": lambda: run(coverage_curve(staged, G)),
-        "precision_change_from_staged": lambda: run(precision_tables(staged, G)["change"]),
-        "precision_width_from_staged": lambda: run(precision_tables(staged, G)["width"]),
+        "precision_change_from_staged": lambda: run(precision.pooled_change(staged, G, with_sd=True)),
+        "precision_width_from_staged": lambda: run(precision.pooled_width_rel(staged, G)),
         "two_group_curve": lambda: run(
             comparison.two_group_curve(
                 bootstrap_two(customers, "c_mktsegment", "HOUSEHOLD", "MACHINERY", V, UNIT), 15

@@ -11,8 +11,6 @@ from collections.abc import Callable
 
 import numpy as np
 from numpy.polynomial import chebyshev
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 
 def fit_unit_interval(f: Callable[[np.ndarray], np.ndarray], degree: int) -> tuple[float, ...]:
@@ -23,18 +21,13 @@ def fit_unit_interval(f: Callable[[np.ndarray], np.ndarray], degree: int) -> tup
     return tuple(float(c) for c in chebyshev.cheb2poly(series))
 
 
-def polynomial(coefficients: tuple[float, ...], u: Column) -> Column:
-    """Horner form of the polynomial at ``u``."""
-    value = F.lit(coefficients[-1])
-    for c in reversed(coefficients[:-1]):
-        value = value * u + F.lit(c)
-    return value
-
+def polynomial(coefficients: tuple[float, ...], u: str) -> str:
+    """Horner form at ``u`` as SQL text; exponents make every literal a DOUBLE.
 
-def polynomial_sql(coefficients: tuple[float, ...], u: str) -> str:
-    """The same polynomial as SQL text; exponents make every literal a DOUBLE."""
-    value = f"({coefficients[-1]!r}e0)" if "e" not in repr(coefficients[-1]) else f"({coefficients[-1]!r})"
-    for c in reversed(coefficients[:-1]):
-        literal = repr(c) if "e" in repr(c) else f"{c!r}e0"
-        value = f"({value}*{u}+({literal}))"
+    Text, because one parsed expression is built far faster than dozens of columns.
+    """
+    literals = [repr(c) if "e" in repr(c) else f"{c!r}e0" for c in coefficients]
+    value = f"({literals[-1]})"
+    for c in reversed(literals[:-1]):
+        value = f"({value}*{u}+({c}))"
     return value

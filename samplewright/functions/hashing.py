@@ -1,14 +1,11 @@
 """Keyed hashing: every random choice is a function of its keys, never of a partition.
 
 ``xxhash64`` is the fast default. ``md5`` gives the same kind of choice in a form that
-other SQL engines can replay.
+other SQL engines can replay. All functions return SQL text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 RNGS = ("xxhash64", "md5")
 SLICE_BITS = 16
 
@@ -18,30 +15,36 @@ def _check(rng: str) -> None:
         raise ValueError(f"rng must be one of {RNGS}, got {rng!r}")
 
 
-def _md5(seed: int, *keys: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]))
+def _joined(seed: int, keys: tuple[str, ...]) -> str:
+    return f"concat_ws('|', '{seed}', {', '.join(f'cast({k} AS STRING)' for k in keys)})"
 
 
-def order_key(rng: str, seed: int, *keys: Column) -> Column:
+def order_key(rng: str, seed: int, *keys: str) -> str:
     """A key whose sort order is a random permutation."""
     _check(rng)
-    return F.xxhash64(F.lit(seed), *keys) if rng == "xxhash64" else _md5(seed, *keys)
+    return f"xxhash64({seed}, {', '.join(keys)})" if rng == "xxhash64" else f"md5({_joined(seed, keys)})"
 
 
-def slice_of(rng: str, key: Column, slices: int) -> Column:
+def slice_of(rng: str, key: str, slices: int) -> str:
     """Which of ``slices`` equal ranges of the key space an order key falls in."""
     if rng == "xxhash64":
-        top = F.shiftright(key, 64 - SLICE_BITS) + F.lit(1 << (SLICE_BITS - 1))
+        top = f"shiftright({key}, {64 - SLICE_BITS}) + {1 << (SLICE_BITS - 1)}"
     else:
-        top = F.conv(F.substring(key, 1, SLICE_BITS // 4), 16, 10).cast("long")
-    return F.shiftright(top.cast("long") * F.lit(min(slices, 1 << SLICE_BITS)), SLICE_BITS).cast("int")
+        top = f"cast(conv(substring({key}, 1, {SLICE_BITS // 4}), 16, 10) AS BIGINT)"
+    return f"cast(shiftright(({top}) * {min(slices, 1 << SLICE_BITS)}L, {SLICE_BITS}) AS INT)"
 
 
-def draw_index(rng: str, seed: int, size: Column, *keys: Column) -> Column:
-    """A uniform index in ``0 .. size-1``."""
+def draw_prefix(rng: str, seed: int, *keys: str) -> str:
+    """What the draws of one resample have in common; computed once per resample."""
     _check(rng)
+    return f"xxhash64({seed}, {', '.join(keys)})" if rng == "xxhash64" else _joined(seed, keys)
+
+
+def draw_index(rng: str, prefix: str, draw: str, size: str) -> str:
+    """A uniform index in ``0 .. size-1`` for one draw of a resample."""
     if rng == "xxhash64":
-        bits = F.xxhash64(F.lit(seed), *keys)
+        bits = f"xxhash64({prefix}, {draw})"
     else:
-        bits = F.conv(F.substring(_md5(seed, *keys), 1, 15), 16, 10).cast("long")
-    return F.pmod(bits, size)
+        text = f"concat_ws('|', {prefix}, cast({draw} AS STRING))"
+        bits = f"cast(conv(substring(md5({text}), 1, 15), 16, 10) AS BIGINT)"
+    return f"pmod({bits}, {size})"

@@ -35,18 +35,16 @@ def _fit() -> tuple[float, ...]:
     return fit_unit_interval(np.vectorize(_log_scaled_erfc, otypes=[float]), 24)
 
 
-def upper_tail(x: str | Column) -> Column:
-    """P(Z > x), accurate in relative terms far into the tail."""
-    x = col(x).cast("double")
-    a = F.abs(x) / F.lit(math.sqrt(2.0))
-    t = F.lit(1.0) / (F.lit(1.0) + a / F.lit(2.0))
-    tail = F.lit(0.5) * t * F.exp(polynomial(_fit(), F.lit(2.0) * t - F.lit(1.0)) - a * a)
-    return F.when(x < 0.0, F.lit(1.0) - tail).otherwise(tail)
-
-
-def density(x: str | Column) -> Column:
-    x = col(x).cast("double")
-    return F.exp(-x * x / F.lit(2.0)) / F.lit(math.sqrt(2.0 * math.pi))
+def upper_tail(x: str) -> Column:
+    """P(Z > x) of a SQL expression, accurate in relative terms far into the tail."""
+    t = f"(1e0/(1e0+abs({x})/{2.0 * math.sqrt(2.0)!r}e0))"
+    tail = f"(0.5e0*{t}*exp({polynomial(_fit(), f'(2e0*{t}-1e0)')} - ({x})*({x})/2e0))"
+    return F.expr(f"CASE WHEN {x} < 0 THEN 1e0 - {tail} ELSE {tail} END")
+
+
+def density(x: str) -> Column:
+    """Standard normal density of a SQL expression."""
+    return F.expr(f"exp(-({x})*({x})/2e0)/{math.sqrt(2.0 * math.pi)!r}e0")
 
 
 def wilson(successes: str | Column, trials: str | Column, level: float = 0.95) -> Column:

@@ -29,12 +29,17 @@ def clamp_above(c: str | Column, cap: float) -> Column:
     return F.when(c > F.lit(cap), F.lit(cap)).otherwise(c)
 
 
-def null_safe(*cols: str | Column) -> Column:
-    """One struct of key columns that joins by plain equality with NULL equal to NULL.
+def quoted(name: str) -> str:
+    """A column name inside SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def null_safe(*names: str) -> str:
+    """SQL text of one struct of key columns: joined by plain equality, NULL equals NULL.
 
     Unlike ``<=>`` on each column, the struct keeps the hash partitioning that an
     earlier window or aggregate on it set up, so the join needs no second shuffle.
     """
-    if not cols:
-        return F.lit(0)
-    return F.struct(*[col(c).alias(f"k{i}") for i, c in enumerate(cols)])
+    if not names:
+        return "0"
+    return "named_struct(" + ", ".join(f"'k{i}', {quoted(c)}" for i, c in enumerate(names)) + ")"

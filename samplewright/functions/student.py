@@ -13,8 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from samplewright.functions.fits import fit_unit_interval, polynomial, polynomial_sql
-from samplewright.functions.nulls import col
+from samplewright.functions.fits import fit_unit_interval, polynomial
 
 FIT_DEGREE = 20  # relative error below 1e-12 for every df >= 1
 TABLE_DF = 200  # whole degrees of freedom looked up instead of fitted
@@ -78,27 +77,28 @@ def _fit(level: float) -> tuple[float, ...]:
     return fit_unit_interval(lambda x: np.log(quantile(level, 1.0 / x)), FIT_DEGREE)
 
 
-def t_quantile(df: str | Column, level: float = 0.95) -> Column:
-    """Two-sided t quantile for integer or fractional ``df``; NULL below one."""
-    df = col(df).cast("double")
-    u = F.lit(2.0) / F.when(df >= 1.0, df) - F.lit(1.0)
-    return F.exp(polynomial(_fit(level), u))
+def t_quantile_sql(df: str, level: float = 0.95) -> str:
+    """SQL text of the two-sided t quantile for integer or fractional ``df`` >= 1."""
+    return f"exp({polynomial(_fit(level), f'(2e0/({df})-1e0)')})"
 
 
-@lru_cache(maxsize=None)
-def _table(level: float) -> tuple[float, ...]:
-    return tuple(float(t) for t in quantile(level, np.arange(1, TABLE_DF + 1)))
+def t_quantile(df: str, level: float = 0.95) -> Column:
+    """Two-sided t quantile of the SQL expression ``df``; NULL below one."""
+    return F.expr(f"CASE WHEN {df} >= 1 THEN {t_quantile_sql(df, level)} END")
 
 
-def t_quantile_whole(df: str | Column, level: float = 0.95) -> Column:
-    """Two-sided t quantile for whole ``df``: a constant array, and the fit beyond it."""
-    df = col(df).cast("int")
-    table = F.array(*[F.lit(t) for t in _table(level)])
-    return F.when(df > TABLE_DF, t_quantile(df, level)).when(df >= 1, F.get(table, df - 1))
+@lru_cache(maxsize=None)
+def _table(level: float) -> str:
+    values = quantile(level, np.arange(1, TABLE_DF + 1))
+    return "array(" + ", ".join(f"{float(t)!r}e0" for t in values) + ")"
 
 
-def t_quantile_sql(df: str, level: float = 0.95) -> str:
-    return f"exp({polynomial_sql(_fit(level), f'(2e0/({df})-1e0)')})"
+def t_quantile_whole(df: str, level: float = 0.95) -> Column:
+    """The same for whole ``df``: a constant array, and the fit beyond it."""
+    return F.expr(
+        f"CASE WHEN {df} > {TABLE_DF} THEN {t_quantile_sql(df, level)} "
+        f"WHEN {df} >= 1 THEN get({_table(level)}, cast({df} - 1 AS INT)) END"
+    )
 
 
 @F.pandas_udf(DoubleType())

@@ -4,12 +4,13 @@ How a group of any size is resampled without holding it in one place:
 
 1. every row gets a random ordinal 1..N in its group (:func:`shuffle_rank`);
 2. the values are packed into arrays of at most ``CHUNK_ROWS`` consecutive ordinals;
-3. every array goes through the group's whole list of draws (size, iteration, draw
-   number), which costs one hash each, and answers those that fall in its range;
-4. mean and standard deviation are merged across arrays by partial aggregation.
+3. a group that is one array answers all its draws in place;
+4. otherwise every array goes through the group's whole list of draws (size, iteration,
+   draw number), which costs one hash each, and answers those that fall in its range.
+   Mean and standard deviation are then merged across arrays by partial aggregation.
 
-A small group is a single array and answers all its draws. A draw depends on its keys
-only, so results do not change with partitioning, chunking or batching.
+A draw depends on its keys only, so results do not change with partitioning, chunking
+or batching.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.functions.hashing import draw_index
-from samplewright.functions.nulls import col, ratio, strict
+from samplewright.functions.hashing import draw_index, draw_prefix
+from samplewright.functions.nulls import col, quoted, ratio, strict
 from samplewright.functions.student import t_quantile, t_quantile_whole
 from samplewright.operators.ordering import columns, shuffle_rank
 from samplewright.session import shuffle_partitions
@@ -31,7 +32,8 @@ N_MIN, N_MAX, ITERS, SEED = 3, 50, 499, 2012
 REFERENCE_SIZE = 30
 
 CHUNK_ROWS = 1 << 15  # values per packed array: 256 KB
-LANE_DRAWS = 1 << 16  # draws per unit of work
+LANE_DRAWS = 1 << 15  # draws per unit of work
+BLOCK = 8  # draws per row
 
 
 def pack_groups(
@@ -47,50 +49,105 @@ def pack_groups(
 
     Array ``chunk`` holds the values with ordinals ``chunk * chunk_rows + 1`` onwards.
     """
-    needed = df.select(F.col(g).alias(g), F.col(v).alias("_v"), *[c for c in columns(unit) if c != g])
+    needed = df.selectExpr(quoted(g), f"{quoted(v)} AS _v", *[quoted(c) for c in columns(unit) if c != g])
     ranked = shuffle_rank(needed, g, unit, seed, rng, "_ordinal", "total")
-    packed = ranked.groupBy(g, F.expr(f"(_ordinal - 1) div {chunk_rows}").alias("chunk")).agg(
-        F.first("total").alias("total"),
-        F.sort_array(F.collect_list(F.struct("_ordinal", "_v"))).alias("_rows"),
+    # An explicit shuffle: what follows is heavy for its bytes, so the partitions should
+    # not be merged by size, and a map-side collect_list would only cost memory.
+    placed = ranked.selectExpr("*", f"(_ordinal - 1) div {chunk_rows} AS chunk").repartition(
+        shuffle_partitions(df.sparkSession), g, "chunk"
+    )
+    return placed.groupBy(g, "chunk").agg(
+        F.expr("first(total) AS total"), F.expr("sort_array(collect_list(struct(_ordinal, _v)))._v AS vals")
     )
-    return packed.select(g, "chunk", "total", F.col("_rows._v").alias("vals"))
 
 
-def draws(
-    packed: DataFrame,
-    g: str,
-    n_min: int = N_MIN,
-    n_max: int = N_MAX,
-    iters: int = ITERS,
-    seed: int = SEED,
-    rng: str = "xxhash64",
-    chunk_rows: int = CHUNK_ROWS,
+def _grid(work: DataFrame, g: str, n_min: int, n_max: int, seed: int, rng: str, iterations: str) -> DataFrame:
+    """One row per resample: packed row x ``iter`` x ``sample_size``, with its draw prefix."""
+    return (
+        work.selectExpr("*", f"explode({iterations}) AS iter")
+        .selectExpr("*", f"explode(sequence({n_min}, {n_max})) AS sample_size")
+        .selectExpr("*", f"{draw_prefix(rng, seed, quoted(g), 'sample_size', 'iter')} AS _prefix")
+    )
+
+
+def _resample_whole(
+    packed: DataFrame, g: str, n_min: int, n_max: int, iters: int, seed: int, rng: str
 ) -> DataFrame:
-    """All draws with replacement: ``g, sample_size, iter, value``, one row per draw."""
-    if not 1 <= n_min <= n_max or iters < 1:
-        raise ValueError("need 1 <= n_min <= n_max and iters >= 1")
+    """Resample groups that are one array each.
+
+    Few groups would give few tasks, so the iterations of a group are dealt out to lanes
+    of equal work; copies of its values stay below an eighth of its draws. All draws of
+    a resample are then in one task, and the aggregate over them needs no shuffle.
+
+    A row stands for ``BLOCK`` draws. Moments are taken about the first value drawn,
+    which keeps constant resamples at a standard deviation of exactly zero and bounds
+    the loss of precision of all others by a factor of n + 1.
+    """
     per_group = iters * sum(range(n_min, n_max + 1))
-    # Few groups would give few tasks, so the iterations of a group are dealt out to
-    # lanes of equal work. Copies stay below an eighth of the draws, and a group of
-    # several arrays has parallelism enough.
-    alone = F.col("total") <= chunk_rows
-    lanes = F.ceil(F.lit(per_group) / F.greatest(F.lit(LANE_DRAWS), F.size("vals") * 8))
-    lanes = F.when(alone, F.least(lanes, F.lit(iters))).otherwise(F.lit(1)).cast("int")
-    work = packed.withColumn("_lanes", lanes).withColumn(
-        "_lane", F.explode(F.sequence(F.lit(1), F.col("_lanes")))
+    lanes = f"cast(least(ceil({per_group} / greatest({LANE_DRAWS}, size(vals) * 8)), {iters}) AS INT)"
+    work = (
+        packed.selectExpr("*", f"{lanes} AS _lanes")
+        .selectExpr("*", "explode(sequence(1, _lanes)) AS _lane")
+        .repartition(shuffle_partitions(packed.sparkSession), g, "_lane")
     )
-    work = work.repartition(shuffle_partitions(packed.sparkSession))
-    grid = (
-        work.withColumn("iter", F.explode(F.sequence(F.col("_lane"), F.lit(iters), F.col("_lanes"))))
-        .withColumn("sample_size", F.explode(F.sequence(F.lit(n_min), F.lit(n_max))))
-        .withColumn("_draw", F.explode(F.sequence(F.lit(1), F.col("sample_size"))))
+
+    def drawn(j: str) -> str:
+        return f"get(vals, cast({draw_index(rng, '_prefix', j, 'total')} AS INT))"
+
+    keys = [quoted(g), "_lane", "sample_size", "iter"]
+    blocks = (
+        _grid(work, g, n_min, n_max, seed, rng, f"sequence(_lane, {iters}, _lanes)")
+        .selectExpr("*", f"{drawn('1')} AS _pivot")
+        .selectExpr("*", f"explode(sequence(1, sample_size, {BLOCK})) AS _first")
     )
-    keys = [F.col(c) for c in (g, "sample_size", "iter", "_draw")]
-    value = F.get("vals", (F.col("_at") % chunk_rows).cast("int"))
-    return (
-        grid.withColumn("_at", draw_index(rng, seed, F.col("total"), *keys))
-        .filter(F.expr(f"_at div {chunk_rows} = chunk"))
-        .select(g, "sample_size", "iter", value.alias("value"))
+    deviations = [
+        f"CASE WHEN _first + {k} <= sample_size THEN {drawn(f'_first + {k}')} - _pivot ELSE 0D END AS _d{k}"
+        for k in range(BLOCK)
+    ]
+    sums = blocks.selectExpr(*keys, "_pivot", *deviations).selectExpr(
+        *keys,
+        "_pivot",
+        " + ".join(f"_d{k}" for k in range(BLOCK)) + " AS _s1",
+        " + ".join(f"_d{k} * _d{k}" for k in range(BLOCK)) + " AS _s2",
+    )
+    moments = sums.groupBy(*keys).agg(
+        F.expr("first(_pivot) AS _pivot"),
+        F.expr("CASE WHEN count(_s1) = count(*) THEN sum(_s1) END AS _s1"),
+        F.expr("sum(_s2) AS _s2"),
+    )
+    squares = "greatest(_s2 - _s1 * _s1 / sample_size, 0D)"
+    return moments.selectExpr(
+        quoted(g),
+        "sample_size",
+        "iter",
+        "_pivot + _s1 / sample_size AS mean",
+        f"CASE WHEN _s1 IS NOT NULL AND sample_size > 1 THEN sqrt({squares} / greatest(sample_size - 1, 1)) END AS sd",
+    )
+
+
+def _resample_split(
+    packed: DataFrame, g: str, n_min: int, n_max: int, iters: int, seed: int, rng: str, chunk_rows: int
+) -> DataFrame:
+    """Resample groups that are spread over several arrays.
+
+    Every array goes through all draws and keeps its own. A row stands for ``BLOCK``
+    draws and is dropped before it is unfolded if none of them falls in the array. There
+    are arrays enough to fill a cluster, so they stay where they are.
+    """
+    positions = [draw_index(rng, "_prefix", f"_first + {k}", "total") for k in range(BLOCK)]
+    in_block = [f"_first + {k} <= sample_size" for k in range(BLOCK)]
+    any_own = " OR ".join(f"({i} AND {p} div {chunk_rows} = chunk)" for i, p in zip(in_block, positions))
+    listed = ", ".join(f"CASE WHEN {i} THEN {p} END" for i, p in zip(in_block, positions))
+    own = (
+        _grid(packed, g, n_min, n_max, seed, rng, f"sequence(1, {iters})")
+        .selectExpr("*", f"explode(sequence(1, sample_size, {BLOCK})) AS _first")
+        .filter(any_own)
+        .selectExpr(quoted(g), "sample_size", "iter", "chunk", "vals", f"explode(array({listed})) AS _at")
+        .filter(f"_at div {chunk_rows} <=> chunk")
+        .selectExpr(quoted(g), "sample_size", "iter", f"get(vals, cast(_at % {chunk_rows} AS INT)) AS _value")
+    )
+    return own.groupBy(g, "sample_size", "iter").agg(
+        strict(F.avg, "_value").alias("mean"), strict(F.stddev_samp, "_value").alias("sd")
     )
 
 
@@ -109,13 +166,15 @@ def bootstrap_groups(
     """Resample every group: ``g, sample_size, iter, mean, sd``.
 
     ``unit`` names the columns that identify a row inside its group. The size may
-    exceed the group's, since draws are with replacement.
+    exceed the group's, since draws are with replacement. An unknown value among the
+    draws makes mean and sd NULL.
     """
+    if not 1 <= n_min <= n_max or iters < 1:
+        raise ValueError("need 1 <= n_min <= n_max and iters >= 1")
     packed = pack_groups(df, g, v, unit, seed, rng, chunk_rows)
-    drawn = draws(packed, g, n_min, n_max, iters, seed, rng, chunk_rows)
-    return drawn.groupBy(g, "sample_size", "iter").agg(
-        strict(F.avg, "value").alias("mean"), strict(F.stddev_samp, "value").alias("sd")
-    )
+    whole = _resample_whole(packed.filter(f"total <= {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
+    split = _resample_split(packed.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng, chunk_rows)
+    return whole.unionByName(split)
 
 
 def bootstrap_batches(
@@ -155,7 +214,7 @@ def t_ci(
     """Student-t confidence interval of each mean: ``std_error, error, lower_ci, upper_ci``."""
     return (
         df.withColumn("std_error", ratio(sd, F.sqrt(col(n))))
-        .withColumn("error", t_quantile_whole(F.col(n) - 1, level) * F.col("std_error"))
+        .withColumn("error", t_quantile_whole(f"(`{n}` - 1)", level) * F.col("std_error"))
         .withColumn("lower_ci", F.col(mean) - F.col("error"))
         .withColumn("upper_ci", F.col(mean) + F.col("error"))
     )
@@ -182,22 +241,16 @@ def bootstrap_two(
     level: float = 0.95,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Resample two groups side by side; difference of means with a Welch t interval.
-
-    Both groups' draws meet in one aggregate per (size, iteration), without a join.
-    """
-    packed = pack_groups(df.filter(F.col(g).isin(group1, group2)), g, v, unit, seed, rng, chunk_rows)
-    drawn = draws(packed, g, n_min, n_max, iters, seed, rng, chunk_rows)
-    aggregates = []
-    for i, name in ((1, group1), (2, group2)):
-        mine = F.col(g) == F.lit(name)
-        whole = F.count(F.when(mine, F.col("value"))) == F.count(F.when(mine, F.lit(1)))
-        of = F.when(mine, F.col("value"))
-        aggregates += [
-            F.when(whole, F.avg(of)).alias(f"mean{i}"),
-            F.when(whole, F.stddev_samp(of)).alias(f"sd{i}"),
+    """Resample two groups side by side; difference of means with a Welch t interval."""
+    pair = df.filter(F.col(g).isin(group1, group2))
+    boot = bootstrap_groups(pair, g, v, unit, n_min, n_max, iters, seed, rng, chunk_rows)
+    both = boot.groupBy("sample_size", "iter").agg(
+        *[
+            F.max(F.when(F.col(g) == F.lit(name), F.col(c))).alias(f"{c}{i}")
+            for i, name in ((1, group1), (2, group2))
+            for c in ("mean", "sd")
         ]
-    both = drawn.groupBy("sample_size", "iter").agg(*aggregates)
+    )
     n = F.col("sample_size")
     v1, v2 = F.col("sd1") * F.col("sd1"), F.col("sd2") * F.col("sd2")
     return (

@@ -113,16 +113,17 @@ def design_analysis(df: DataFrame, effects: Sequence[float], se: str = "se_diff"
     normal estimate.
     """
     z = z_value(1.0 - alpha)
-    shift = ratio("possible_effect", se)
-    right, wrong = upper_tail(F.lit(z) - F.col("_shift")), upper_tail(F.lit(z) + F.col("_shift"))
+    right, wrong = upper_tail(f"({z!r} - _shift)"), upper_tail(f"({z!r} + _shift)")
+    partial = density(f"{z!r} - _shift") + density(f"{z!r} + _shift")
     grid = df.withColumn("possible_effect", F.explode(F.array(*[F.lit(float(e)) for e in effects])))
-    partial = density(F.lit(z) - F.col("_shift")) + density(F.lit(z) + F.col("_shift"))
     return (
-        grid.withColumn("_shift", shift)
-        .withColumn("power", right + wrong)
-        .withColumn("type_s", ratio(wrong, "power"))
+        grid.withColumn("_shift", ratio("possible_effect", se))
+        .withColumns({"_right": right, "_wrong": wrong})
+        .withColumn("power", F.col("_right") + F.col("_wrong"))
+        .withColumn("type_s", ratio("_wrong", "power"))
         .withColumn(
-            "type_m", ratio(F.col("_shift") * (right - wrong) + partial, F.col("_shift") * F.col("power"))
+            "type_m",
+            ratio(F.col("_shift") * (F.col("_right") - F.col("_wrong")) + partial, F.col("_shift") * F.col("power")),
         )
         .select(*df.columns, "possible_effect", "power", "type_s", "type_m")
     )

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from samplewright.functions.hashing import order_key, slice_of
-from samplewright.functions.nulls import null_safe
+from samplewright.functions.nulls import null_safe, quoted
 from samplewright.session import settle, shuffle_partitions
 
 ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
@@ -32,30 +32,32 @@ def _ascending(cols: Sequence[str]) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in cols]
 
 
-def _accumulate(df: DataFrame, order: list[Column], weight: Column, start: str, total: str) -> DataFrame:
+def _ascending_sql(cols: Sequence[str]) -> str:
+    return ", ".join(f"{quoted(c)} ASC NULLS LAST" for c in cols)
+
+
+def _accumulate(df: DataFrame, order: str, weight: str, start: str, total: str) -> DataFrame:
     """Add the weight before each row in its group, and the group's weight.
 
     ``df`` holds the group in ``_key`` and an order-respecting bucket in ``_bucket``.
     The rows are shuffled once, on (_key, _bucket); the totals have one row per pair
     and at most one bucket count per group.
     """
-    weighted = df.withColumn("_weight", weight)
-    sums = weighted.groupBy("_key", "_bucket").agg(F.sum("_weight").alias("_sum"))
-    group = W.partitionBy("_key")
-    before = group.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(
+    sums = df.groupBy("_key", "_bucket").agg(F.expr(f"sum({weight}) AS _sum"))
+    offsets = sums.selectExpr(
         "_key",
         "_bucket",
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_sum").over(group).alias(total),
+        "coalesce(sum(_sum) OVER (PARTITION BY _key ORDER BY _bucket "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset",
+        f"sum(_sum) OVER (PARTITION BY _key) AS {quoted(total)}",
     )
-    inside = W.partitionBy("_key", "_bucket").orderBy(*order)
-    running = F.sum("_weight").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return (
-        weighted.withColumn("_running", running)
-        .join(offsets, ["_key", "_bucket"])
-        .withColumn(start, F.col("_offset") + F.col("_running") - F.col("_weight"))
-        .drop("_weight", "_running", "_offset", "_bucket")
+    inside = df.selectExpr(
+        "*",
+        f"sum({weight}) OVER (PARTITION BY _key, _bucket ORDER BY {order} "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS _running",
+    )
+    return inside.join(offsets, ["_key", "_bucket"]).selectExpr(
+        "* EXCEPT (_key, _bucket, _running, _offset)", f"_offset + _running - {weight} AS {quoted(start)}"
     )
 
 
@@ -75,17 +77,13 @@ def shuffle_rank(
     given, names a column for the group size.
     """
     g, unit = columns(g), columns(unit)
-    spark = df.sparkSession
-    keyed = (
-        df.withColumn("_key", null_safe(*g))
-        .withColumn("_hash", order_key(rng, seed, *[F.col(c) for c in g + unit]))
-        .withColumn("_bucket", slice_of(rng, F.col("_hash"), shuffle_partitions(spark)))
+    key = order_key(rng, seed, *map(quoted, g + unit))
+    keyed = df.selectExpr("*", f"{null_safe(*g)} AS _key", f"{key} AS _hash").selectExpr(
+        "*", f"{slice_of(rng, '_hash', shuffle_partitions(df.sparkSession))} AS _bucket"
     )
-    placed = _accumulate(keyed, [F.col("_hash"), *_ascending(unit)], F.lit(1), "_start", total or "_total")
-    return placed.select(
-        *df.columns,
-        (F.col("_start") + 1).cast("long").alias(name),
-        *([F.col(total).cast("long").alias(total)] if total else []),
+    placed = _accumulate(keyed, f"_hash, {_ascending_sql(unit)}", "1", "_start", total or "_total")
+    return placed.selectExpr(
+        *map(quoted, df.columns), f"_start + 1 AS {quoted(name)}", *([quoted(total)] if total else [])
     )
 
 
@@ -93,22 +91,23 @@ def weighted_start(
     df: DataFrame,
     by: str | Sequence[str] | None,
     order: str | Sequence[str],
-    weight: Column | None = None,
+    weight: str = "1",
     start: str = "start",
     total: str = "total",
 ) -> DataFrame:
     """For every row, the weight that precedes it in its group, and the group's weight.
 
-    Rows are range-partitioned on (by, order), which splits a hot group; rows equal in
-    both should have been aggregated first. The partition number is stored before use.
+    ``weight`` is SQL text. Rows are range-partitioned on (by, order), which splits a hot
+    group; rows equal in both should have been aggregated first. The partition number is
+    stored before use.
     """
     by, order = columns(by), columns(order)
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(shuffle_partitions(spark), *_ascending(by + order))
+    parts = shuffle_partitions(df.sparkSession)
+    ranged = df.repartitionByRange(parts, *_ascending(by + order))
     ranged = settle(ranged.withColumn("_bucket", F.spark_partition_id()))
-    keyed = ranged.withColumn("_key", null_safe(*by))
-    weight = F.lit(1) if weight is None else weight
-    return _accumulate(keyed, _ascending(order), weight, start, total).select(*df.columns, start, total)
+    keyed = ranged.selectExpr("*", f"{null_safe(*by)} AS _key")
+    placed = _accumulate(keyed, _ascending_sql(order), weight, start, total)
+    return placed.selectExpr(*map(quoted, [*df.columns, start, total]))
 
 
 def group_row_number(
@@ -189,7 +188,7 @@ def exact_median(df: DataFrame, c: str, by: str | Sequence[str] | None = None, n
     """
     by = columns(by)
     counted = df.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.count(F.lit(1)).alias("_n"))
-    placed = weighted_start(counted, by, c, F.col("_n"), "_start", "_total")
+    placed = weighted_start(counted, by, c, "_n", "_start", "_total")
     lower, upper = F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2)
     holds = lambda target: (
         (F.col("_start") <= target) & (target < F.col("_start") + F.col("_n"))

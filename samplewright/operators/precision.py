@@ -30,6 +30,19 @@ def width_change(
     return lagged.select(*df.columns, F.abs(F.col(w) - F.col("_previous")).alias(name))
 
 
+def measure(
+    df: DataFrame, g: str, n: str = "sample_size", it: str = "iter", lo: str = "lower_ci", hi: str = "upper_ci"
+) -> DataFrame:
+    """Width and change of every resample: ``g, n, it, w_ci, dw_ci``.
+
+    The tables below measure a table themselves unless it holds these columns, so a
+    caller who wants several of them measures once.
+    """
+    if {"w_ci", "dw_ci"} <= set(df.columns):
+        return df.select(g, n, it, "w_ci", "dw_ci")
+    return width_change(ci_width(df.select(g, n, it, lo, hi), lo, hi).drop(lo, hi), g, n, it)
+
+
 def precision_by_group(
     df: DataFrame, g: str, n: str = "sample_size", it: str = "iter", lo: str = "lower_ci", hi: str = "upper_ci"
 ) -> DataFrame:
@@ -37,8 +50,7 @@ def precision_by_group(
 
     The very first row has no change, which makes its group's first mean change NULL.
     """
-    measured = width_change(ci_width(df.select(g, n, it, lo, hi), lo, hi), g, n, it)
-    return measured.groupBy(g, n).agg(
+    return measure(df, g, n, it, lo, hi).groupBy(g, n).agg(
         strict(F.avg, "w_ci").alias("w_ci"), strict(F.avg, "dw_ci").alias("dw_ci")
     )
 
@@ -98,8 +110,7 @@ def pooled_change(
     with_sd: bool = False,
 ) -> DataFrame:
     """Pooled change in width with a band of "mean / sqrt(n)"."""
-    measured = width_change(ci_width(df.select(g, n, it, lo, hi), lo, hi), g, n, it)
-    pooled = _relative_band(measured, g, n, "dw_ci", "w_ci", "ci_change")
+    pooled = _relative_band(measure(df, g, n, it, lo, hi), g, n, "dw_ci", "w_ci", "ci_change")
     if not with_sd:
         return pooled.drop("ci_change_sd")
     return pooled.withColumn("ci_se", ratio("ci_change_sd", n))

@@ -15,7 +15,7 @@ from samplewright.operators.ordering import columns, row_index
 def clean_name(name: str) -> str:
     """Lower snake_case ASCII form of one column name."""
     name = name.replace("%", "_percent_").replace("#", "_number_")
-    name = unicodedata.normalize("NFKD", name).encode("ascii", "ignore").decode()
+    name = unicodedata.normalize("NFKD", name.replace("ß", "ss")).encode("ascii", "ignore").decode()
     name = re.sub(r"['\"]", "", name)
     name = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name)
     name = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", name)

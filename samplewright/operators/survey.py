@@ -33,8 +33,8 @@ def distribution_summary(df: DataFrame, c: str, by: str | Sequence[str] | None =
     )
     medians = exact_median(df, c, by)
     if by:
-        keyed = medians.select(null_safe(*by).alias("_key"), "median")
-        stats = stats.withColumn("_key", null_safe(*by)).join(keyed, "_key")
+        keyed = medians.selectExpr(f"{null_safe(*by)} AS _key", "median")
+        stats = stats.selectExpr("*", f"{null_safe(*by)} AS _key").join(keyed, "_key")
     else:
         stats = stats.withColumn("median", medians.select(F.max("median")).scalar())
     return stats.withColumn("se", ratio("sd", F.sqrt("nn"))).select(

@@ -83,10 +83,11 @@ def coverage_curve(boot_ci: DataFrame, g: str, level: float = 0.95, boundary: st
 
 def precision_tables(boot_ci: DataFrame, g: str, cap: float = 2.0) -> dict[str, DataFrame]:
     """The width and change-in-width tables of a study."""
+    measured = precision.measure(boot_ci, g)
     width = precision.pooled_width_rel(boot_ci, g)
-    change = precision.pooled_change(boot_ci, g, with_sd=True)
+    change = precision.pooled_change(measured, g, with_sd=True)
     return {
-        "by_group": precision.precision_by_group(boot_ci, g),
+        "by_group": precision.precision_by_group(measured, g),
         "width_se": precision.pooled_width_se(boot_ci, g),
         "width": width,
         "width_focus": precision.focus(width),
