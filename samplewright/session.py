@@ -33,13 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session, where driver and executors share a disk, may fall back to
     a temporary folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        named = tempfile.mkdtemp(prefix="samplewright-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return f"{named.rstrip('/')}/samplewright-{spark.sparkContext.applicationId}"
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="samplewright-"))
+        named = context.getCheckpointDir()
+    return f"{named.rstrip('/')}/samplewright-{context.applicationId}"
 
 
 def scratch_path(spark: SparkSession) -> str:

@@ -1,3 +1,6 @@
+import os
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,9 +159,20 @@ def test_the_cleaning_study(spark, tmp_path):
     assert sorted(r.value for r in got if r.group == "species_one") == [r + 0.5 for r in range(1, 31)]
 
 
-def test_scratch_can_be_cleared(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+def test_scratch_can_be_cleared(spark):
     files.stage(spark.range(3))
-    assert any(tmp_path.iterdir())
+    assert os.listdir(shared_dir(spark))
     clear_scratch(spark)
-    assert not any(tmp_path.iterdir())
+    assert not os.path.exists(shared_dir(spark))
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    context = spark.sparkContext
+    fake = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default: default),
+        sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn", applicationId="x"),
+    )
+    with pytest.raises(ValueError):
+        shared_dir(fake)
+    fake.sparkContext.getCheckpointDir = context.getCheckpointDir
+    assert shared_dir(fake).startswith(context.getCheckpointDir())
