@@ -24,6 +24,7 @@ from samplewright.conformance.queries import (
 from samplewright.functions.normal import z_value
 from samplewright.functions.student import quantile, t_quantile_sql
 
+ROOT = "sqrt(abs(c_acctbal))"
 Z = f"{z_value(0.95)!r}"
 
 
@@ -60,7 +61,7 @@ def _draws(n_min: int, n_max: int, iters: int, **_: object) -> str:
        unnest(range(1, n + 1)) c(j))"""
 
 
-def _boot(grid: dict, g: str = "c_nationkey", v: str = "c_acctbal", source: str = "customer") -> str:
+def _boot(grid: dict, g: str = "c_nationkey", v: str = ROOT, source: str = "customer") -> str:
     return f"""{_pool(g, v, 'c_custkey', source)},
 {_draws(**grid)},
 boot AS (
@@ -156,10 +157,10 @@ long AS (
 )
 
 
-def _two(grid: dict, source: str = "customer", unit: str = "c_custkey") -> str:
+def _two(grid: dict, v: str = ROOT, source: str = "customer", unit: str = "c_custkey") -> str:
     where = f"(SELECT * FROM {source} WHERE c_mktsegment IN {PAIR})"
     df = "pow((v1+v2)/n, 2) / ((pow(v1/n, 2) + pow(v2/n, 2)) / (n-1))"
-    return f"""{_pool('c_mktsegment', 'c_acctbal', unit, where)},
+    return f"""{_pool('c_mktsegment', v, unit, where)},
 {_draws(**grid)},
 moments AS (
   SELECT sample_size, iter,
@@ -363,7 +364,7 @@ def oracles() -> dict[str, str]:
         "study_clean_measurements": f"""WITH {LONG}, kept AS (
   SELECT segment || '_deg_c' AS "group", count(*) AS n, count(*) AS last, avg(balance) AS mean
   FROM long WHERE rep <= 30 AND segment <> 'machinery' GROUP BY 1) {_final('kept', '"group", n, last', 'mean')}""",
-        "study_two_groups": f"WITH {tested15}, {_two(SMALL, 'tested', 'ordinal')}, {_curve2(15, 3)} {_final('curve', *curve2_cols)}",
+        "study_two_groups": f"WITH {tested15}, {_two(SMALL, 'c_acctbal', 'tested', 'ordinal')}, {_curve2(15, 3)} {_final('curve', *curve2_cols)}",
         "study_two_groups_design": f"WITH {tested20}, {_design([PAIR], 'tested')} {_final('design', *design_cols)}",
         "p_select": "SELECT p_partkey, p_name AS name, p_size, p_retailprice, round(p_retailprice / sqrt(p_size), 6) AS unit_price, "
         "abs(p_size - 25) AS size_change, pow(p_size, 2) AS size_squared FROM part",

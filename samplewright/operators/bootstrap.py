@@ -84,7 +84,7 @@ def _resample_whole(
     the loss of precision of all others by a factor of n + 1.
     """
     per_group = iters * sum(range(n_min, n_max + 1))
-    lanes = f"cast(least(ceil({per_group} / greatest({LANE_DRAWS}, size(vals) * 8)), {iters}) AS INT)"
+    lanes = f"cast(least(ceil({per_group} / greatest({LANE_DRAWS}, 8L * size(vals))), {iters}) AS INT)"
     work = (
         packed.selectExpr("*", f"{lanes} AS _lanes")
         .selectExpr("*", "explode(sequence(1, _lanes)) AS _lane")
