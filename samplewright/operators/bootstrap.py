@@ -71,7 +71,14 @@ def _grid(work: DataFrame, g: str, n_min: int, n_max: int, seed: int, rng: str,
 
 
 def _resample_whole(
-    packed: DataFrame, g: str, n_min: int, n_max: int, iters: int, seed: int, rng: str
+    packed: DataFrame,
+    g: str,
+    n_min: int,
+    n_max: int,
+    iters: int,
+    seed: int,
+    rng: str,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Resample groups that are one array each.
 
@@ -81,7 +88,8 @@ def _resample_whole(
 
     A row stands for ``BLOCK`` draws. Moments are taken about the first value drawn,
     which keeps constant resamples at a standard deviation of exactly zero and bounds
-    the loss of precision of all others by a factor of n + 1.
+    the loss of precision of all others by a factor of n + 1. Columns in ``carry`` are
+    copied from the packed row to its resamples.
     """
     per_group = iters * sum(range(n_min, n_max + 1))
     lanes = f"cast(least(ceil({per_group} / greatest({LANE_DRAWS}, 8L * size(vals))), {iters}) AS INT)"
@@ -104,9 +112,11 @@ def _resample_whole(
         f"CASE WHEN _first + {k} <= sample_size THEN {drawn(f'_first + {k}')} - _pivot ELSE 0D END AS _d{k}"
         for k in range(BLOCK)
     ]
-    sums = blocks.selectExpr(*keys, "_pivot", *deviations).selectExpr(
+    carried = [quoted(c) for c in carry]
+    sums = blocks.selectExpr(*keys, "_pivot", *carried, *deviations).selectExpr(
         *keys,
         "_pivot",
+        *carried,
         " + ".join(f"_d{k}" for k in range(BLOCK)) + " AS _s1",
         " + ".join(f"_d{k} * _d{k}" for k in range(BLOCK)) + " AS _s2",
     )
@@ -114,6 +124,7 @@ def _resample_whole(
         F.expr("first(_pivot) AS _pivot"),
         F.expr("CASE WHEN count(_s1) = count(*) THEN sum(_s1) END AS _s1"),
         F.expr("sum(_s2) AS _s2"),
+        *[F.expr(f"first({c}) AS {c}") for c in carried],
     )
     squares = "greatest(_s2 - _s1 * _s1 / sample_size, 0D)"
     return moments.selectExpr(
@@ -122,6 +133,7 @@ def _resample_whole(
         "iter",
         "_pivot + _s1 / sample_size AS mean",
         f"CASE WHEN _s1 IS NOT NULL AND sample_size > 1 THEN sqrt({squares} / greatest(sample_size - 1, 1)) END AS sd",
+        *carried,
     )
 
 
@@ -185,6 +197,14 @@ def bootstrap_batches(
     return reduce(DataFrame.unionByName, parts)
 
 
+def _medians(boot: DataFrame, g: str, at_n: int, n: str, mean: str) -> DataFrame:
+    return (
+        boot.filter(F.col(n) == at_n)
+        .groupBy(F.col(g).alias("_group"))
+        .agg(F.median(mean).cast("double").alias("median_pop_val"))
+    )
+
+
 def attach_population_median(
     boot: DataFrame, g: str, at_n: int = REFERENCE_SIZE, n: str = "sample_size", mean: str = "mean", how: str = "left"
 ) -> DataFrame:
@@ -196,11 +216,7 @@ def attach_population_median(
     """
     if how not in ("left", "full"):
         raise ValueError("how must be 'left' or 'full'")
-    medians = (
-        boot.filter(F.col(n) == at_n)
-        .groupBy(F.col(g).alias("_group"))
-        .agg(F.median(mean).cast("double").alias("median_pop_val"))
-    )
+    medians = _medians(boot, g, at_n, n, mean)
     joined = boot.join(medians, F.col(g).eqNullSafe(F.col("_group")), how)
     if how == "left":
         return joined.select(*boot.columns, "median_pop_val")
@@ -208,6 +224,38 @@ def attach_population_median(
     return joined.select(group, *[c for c in boot.columns if c != g], "median_pop_val")
 
 
+def bootstrap_with_median(
+    df: DataFrame,
+    g: str,
+    v: str,
+    unit: str | Sequence[str],
+    n_min: int = N_MIN,
+    n_max: int = N_MAX,
+    iters: int = ITERS,
+    at_n: int = REFERENCE_SIZE,
+    seed: int = SEED,
+    rng: str = "xxhash64",
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """:func:`attach_population_median` of :func:`bootstrap_groups`, joined early.
+
+    As a draw depends on its keys only, the resamples at the reference size can be drawn
+    by themselves. Groups that are one array then meet their median before the resamples
+    are unfolded, so a row per group is joined instead of one per resample.
+    """
+    packed = pack_groups(df, g, v, unit, seed, rng, chunk_rows)
+    alone = packed.filter(f"total <= {chunk_rows}")
+    if n_min <= at_n <= n_max:
+        reference = _resample_whole(alone, g, at_n, at_n, iters, seed, rng)
+        medians = _medians(reference, g, at_n, "sample_size", "mean")
+        alone = alone.join(medians, F.col(g).eqNullSafe(F.col("_group")), "left").drop("_group")
+    else:
+        alone = alone.withColumn("median_pop_val", F.lit(None).cast("double"))
+    whole = _resample_whole(alone, g, n_min, n_max, iters, seed, rng, ["median_pop_val"])
+    split = _resample_split(packed.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng, chunk_rows)
+    return whole.unionByName(attach_population_median(split, g, at_n))
+
+
 def t_ci(
     df: DataFrame, mean: str = "mean", sd: str = "sd", n: str = "sample_size", level: float = 0.95
 ) -> DataFrame:

@@ -18,9 +18,8 @@ from samplewright.operators.bootstrap import (
     N_MIN,
     REFERENCE_SIZE,
     SEED,
-    attach_population_median,
-    bootstrap_groups,
     bootstrap_two,
+    bootstrap_with_median,
     t_ci,
 )
 from samplewright.operators.ordering import shuffle_rank
@@ -67,8 +66,8 @@ def resample_with_ci(
     on them.
     """
     kept = exclude_groups(df, g, exclude) if exclude else df
-    boot = bootstrap_groups(kept, g, v, unit, n_min, n_max, iters, seed, rng)
-    return t_ci(attach_population_median(boot, g, at_n), level=level)
+    boot = bootstrap_with_median(kept, g, v, unit, n_min, n_max, iters, at_n, seed, rng)
+    return t_ci(boot, level=level)
 
 
 def coverage_by_group(boot_ci: DataFrame, g: str, level: float = 0.95, boundary: str = "null") -> DataFrame:

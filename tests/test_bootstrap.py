@@ -117,6 +117,17 @@ def test_population_median_left_equals_full(data):
     assert {r.median_pop_val for r in left.filter("g = 'a'").collect()} == {statistics.median(at30)}
 
 
+@pytest.mark.parametrize("chunk_rows", [1 << 15, 6])
+@pytest.mark.parametrize("at_n", [4, 99])
+def test_the_early_median_equals_the_late_one(spark, data, chunk_rows, at_n):
+    df = data.unionByName(spark.createDataFrame([(None, u, float(u)) for u in range(5)], data.schema))
+    options = dict(n_min=2, n_max=5, iters=9, chunk_rows=chunk_rows)
+    late = bootstrap.attach_population_median(bootstrap.bootstrap_groups(df, "g", "v", "u", **options), "g", at_n)
+    early = bootstrap.bootstrap_with_median(df, "g", "v", "u", at_n=at_n, **options)
+    assert early.columns == late.columns
+    assert sorted(map(str, early.collect())) == sorted(map(str, late.collect()))
+
+
 def test_t_ci_by_hand(spark):
     df = spark.createDataFrame([(10.0, 2.0, 4), (1.0, None, 1)], "mean double, sd double, sample_size int")
     r, single = bootstrap.t_ci(df).collect()
