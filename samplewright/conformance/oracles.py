@@ -390,6 +390,8 @@ def oracles() -> dict[str, str]:
         "(sum(CASE WHEN p_size > 30 THEN 1 ELSE 0 END) OVER ())::BIGINT AS n_above FROM part",
         "p_first_row": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
         "QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) = 1",
+        "p_kth_row": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
+        "QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) = 2",
         "p_row_number": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, "
         "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS row_number FROM customer",
         "p_lag": "SELECT s_nationkey, s_suppkey, s_acctbal, lag(s_acctbal) OVER (ORDER BY s_nationkey, s_suppkey) AS lagged FROM supplier",

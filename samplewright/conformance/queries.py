@@ -561,6 +561,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.first_row_per_group(customers(spark, sf_dir), G, [V, UNIT])
 
 
+@query("p_kth_row")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reshape.kth_row_per_group(customers(spark, sf_dir), G, [V, UNIT], 2)
+
+
 @query("p_row_number")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.group_row_number(customers(spark, sf_dir), G, [V, UNIT])

@@ -36,6 +36,15 @@ def _ascending_sql(cols: Sequence[str]) -> str:
     return ", ".join(f"{quoted(c)} ASC NULLS LAST" for c in cols)
 
 
+def _tie_break(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """A hash of the other columns, as SQL text: spreads rows that tie in ``keys``.
+
+    It depends on content alone, so recomputed rows go where they went before.
+    """
+    other = [f.name for f in df.schema if f.name not in keys and "map<" not in f.dataType.simpleString()]
+    return [f"xxhash64({', '.join(map(quoted, other))})"] if other else []
+
+
 def _accumulate(df: DataFrame, order: str, weight: str, start: str, total: str) -> DataFrame:
     """Add the weight before each row in its group, and the group's weight.
 
@@ -98,15 +107,16 @@ def weighted_start(
     """For every row, the weight that precedes it in its group, and the group's weight.
 
     ``weight`` is SQL text. Rows are range-partitioned on (by, order), which splits a hot
-    group; rows equal in both should have been aggregated first. The partition number is
-    stored before use.
+    group; ties are split by their other columns, and many identical rows should be
+    counted first and weighted. The partition number is stored before use.
     """
     by, order = columns(by), columns(order)
     parts = shuffle_partitions(df.sparkSession)
-    ranged = df.repartitionByRange(parts, *_ascending(by + order))
+    ties = _tie_break(df, by + order)
+    ranged = df.repartitionByRange(parts, *_ascending(by + order), *map(F.expr, ties))
     ranged = settle(ranged.withColumn("_bucket", F.spark_partition_id()))
     keyed = ranged.selectExpr("*", f"{null_safe(*by)} AS _key")
-    placed = _accumulate(keyed, _ascending_sql(order), weight, start, total)
+    placed = _accumulate(keyed, ", ".join([_ascending_sql(order), *ties]), weight, start, total)
     return placed.selectExpr(*map(quoted, [*df.columns, start, total]))
 
 
@@ -124,7 +134,8 @@ def row_index(df: DataFrame, order: str | Sequence[str], name: str = "row_index"
     One range shuffle and a local sort. Partition and row number are stored together,
     so only one count per partition has to be accumulated.
     """
-    keys = _ascending(columns(order))
+    order = columns(order)
+    keys = _ascending(order) + [F.expr(t) for t in _tie_break(df, order)]
     parts = shuffle_partitions(df.sparkSession)
     sorted_rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
     placed = settle(sorted_rows.withColumn("_id", F.monotonically_increasing_id()))

@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from samplewright.operators.ordering import columns, row_index
+from samplewright.operators.ordering import columns, group_row_number, row_index
 
 
 def clean_name(name: str) -> str:
@@ -134,9 +134,17 @@ def add_group_stats(df: DataFrame, g: str | Sequence[str], **aggregates: object)
 
 
 def add_table_stats(df: DataFrame, **aggregates: object) -> DataFrame:
-    """Whole-table aggregates on every row, as scalar subqueries."""
-    totals = {n: df.agg(a.alias(n)).scalar() for n, a in aggregates.items()}
-    return df.withColumns(totals)
+    """Whole-table aggregates on every row, from one scalar subquery."""
+    totals = df.agg(F.struct(*[a.alias(n) for n, a in aggregates.items()])).scalar()
+    return df.withColumn("_totals", totals).select(*df.columns, "_totals.*")
+
+
+def kth_row_per_group(
+    df: DataFrame, g: str | Sequence[str] | None, order: str | Sequence[str], k: int
+) -> DataFrame:
+    """Row ``k`` (from 1) of each group, or of the table, in the given order."""
+    numbered = group_row_number(df, g, order, "_number")
+    return numbered.filter(F.col("_number") == k).select(*df.columns)
 
 
 def first_row_per_group(df: DataFrame, g: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:

@@ -108,3 +108,21 @@ def test_exact_median(spark):
         assert got[g] == statistics.median(r.v for r in local if r.g == g and r.v is not None)
     whole = ordering.exact_median(df, "v").collect()
     assert whole[0]["median"] == statistics.median(r.v for r in local if r.v is not None)
+
+
+def test_ties_are_spread_over_partitions(spark):
+    df = spark.range(4000).selectExpr("'hot' AS g", "1 AS o", "id AS u")
+    numbered = ordering.group_row_number(df, "g", "o", "i")
+    assert sorted(r.i for r in numbered.collect()) == list(range(1, 4001))
+    parts = ordering.row_index(df, "o", "i").groupBy(F.floor(F.col("i") / 1000)).count()
+    assert {r["count"] for r in parts.collect()} == {1000}
+    ranged = df.repartitionByRange(4, "o", F.expr(ordering._tie_break(df, ["g", "o"])[0]))
+    sizes = [r["count"] for r in ranged.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 2000
+
+
+def test_identical_rows_are_numbered_once_each(spark):
+    df = spark.createDataFrame([("a", 1)] * 50 + [("b", 2)] * 3, "g string, o int")
+    got = sorted((r.g, r.i) for r in ordering.group_row_number(df, "g", "o", "i").collect())
+    assert got == [("a", i) for i in range(1, 51)] + [("b", i) for i in range(1, 4)]
+    assert sorted(r.i for r in ordering.row_index(df, "o", "i").collect()) == list(range(53))

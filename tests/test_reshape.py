@@ -136,7 +136,9 @@ def test_group_and_table_stats(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), (None, 5)], "g string, v int")
     got = sorted(map(str, (tuple(r) for r in reshape.add_group_stats(df, "g", m=F.avg("v")).collect())))
     assert got == ["('a', 1, 2.0)", "('a', 3, 2.0)", "(None, 5, 5.0)"]
-    assert {r.n for r in reshape.add_table_stats(df, n=F.count(F.lit(1))).collect()} == {3}
+    whole = reshape.add_table_stats(df, n=F.count(F.lit(1)), top=F.max("v"))
+    assert whole.columns == ["g", "v", "n", "top"]
+    assert {(r.n, r.top) for r in whole.collect()} == {(3, 5)}
 
 
 def test_first_row_per_group(spark):
@@ -145,6 +147,12 @@ def test_first_row_per_group(spark):
     assert got == [("a", 2, 3), ("b", None, 7)]
 
 
+def test_kth_row(spark):
+    df = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 7)], "g string, v int")
+    assert [tuple(r) for r in reshape.kth_row_per_group(df, "g", "v", 2).collect()] == [("a", 2)]
+    assert [tuple(r) for r in reshape.kth_row_per_group(df, None, "v", 4).collect()] == [("b", 7)]
+
+
 def test_the_cleaning_study(spark, tmp_path):
     text = "rep;Species one;Species two;Bad one\n" + "".join(f"{r};{r},5;-{r},25;oops\n" for r in range(1, 41))
     path = tmp_path / "raw.csv"
