@@ -153,6 +153,16 @@ def row_index(df: DataFrame, order: str | Sequence[str], name: str = "row_index"
     )
 
 
+def _last_value(c: str, order: Sequence[str]) -> Column:
+    """The value of ``c`` in the last row of a group, NULLs of the order last."""
+    if len(order) == 1:
+        # Scalar buffers keep this a hash aggregate.
+        unknown = F.max(F.when(F.col(order[0]).isNull(), F.col(c)))
+        known = F.count(order[0]) == F.count(F.lit(1))
+        return F.when(known, F.max_by(c, order[0])).otherwise(unknown)
+    return F.max_by(c, F.struct(*[x for o in order for x in (F.col(o).isNull(), F.col(o))]))
+
+
 def global_lag(
     df: DataFrame,
     c: str,
@@ -173,11 +183,10 @@ def global_lag(
     rest = order[len(part) :]
     if order[: len(part)] != part or not rest:
         raise ValueError("part must be a proper prefix of order")
-    latest = F.struct(*[f(x) for x in rest for f in (lambda x: F.col(x).isNull(), F.col)])
-    tails = df.groupBy(*part).agg(F.max_by(F.struct(c), latest).alias("_tail"))
+    tails = df.groupBy(*part).agg(_last_value(c, rest).alias("_tail"))
     indexed = row_index(tails, part, "_index")
     carried = (
-        indexed.select((F.col("_index") + 1).alias("_index"), F.col(f"_tail.{c}").alias(c))
+        indexed.select((F.col("_index") + 1).alias("_index"), F.col("_tail").alias(c))
         .join(indexed.select("_index", *part), "_index")
         .drop("_index")
         .withColumn("_carried", F.lit(True))

@@ -148,7 +148,7 @@ def kth_row_per_group(
 
 
 def first_row_per_group(df: DataFrame, g: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
-    """The first row of each group, by partial aggregation instead of a sort."""
+    """The first row of each group, reduced before the shuffle."""
     g, order = columns(g), columns(order)
     rest = [c for c in df.columns if c not in g]
     key = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])

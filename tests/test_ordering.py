@@ -93,6 +93,12 @@ def test_global_lag_with_unknown_groups_and_values(spark):
     assert got == {("a", 1): None, ("a", 2): 1.0, ("b", 1): None, (None, 1): 3.0}
 
 
+def test_global_lag_after_an_unknown_position(spark):
+    df = spark.createDataFrame([("a", 1, 1.0), ("a", None, 2.0), ("b", 1, 3.0)], "g string, i int, w double")
+    got = {(r.g, r.i): r.lagged for r in ordering.global_lag(df, "w", ["g", "i"]).collect()}
+    assert got == {("a", 1): None, ("a", None): 1.0, ("b", 1): 2.0}
+
+
 def test_global_lag_wants_a_prefix(spark):
     df = spark.createDataFrame([(1, 1, 1.0)], "g int, i int, w double")
     for part in (["i"], ["g", "i"]):
