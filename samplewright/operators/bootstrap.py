@@ -49,7 +49,7 @@ def pack_groups(
 
     Array ``chunk`` holds the values with ordinals ``chunk * chunk_rows + 1`` onwards.
     """
-    needed = df.selectExpr(quoted(g), f"{quoted(v)} AS _v", *[quoted(c) for c in columns(unit) if c != g])
+    needed = df.selectExpr(quoted(g), f"cast({quoted(v)} AS DOUBLE) AS _v", *[quoted(c) for c in columns(unit) if c != g])
     ranked = shuffle_rank(needed, g, unit, seed, rng, "_ordinal", "total")
     # An explicit shuffle: what follows is heavy for its bytes, so the partitions should
     # not be merged by size, and a map-side collect_list would only cost memory.
@@ -163,6 +163,11 @@ def _resample_split(
     )
 
 
+def _check_grid(n_min: int, n_max: int, iters: int) -> None:
+    if not 1 <= n_min <= n_max or iters < 1:
+        raise ValueError("need 1 <= n_min <= n_max and iters >= 1")
+
+
 def bootstrap_groups(
     df: DataFrame,
     g: str,
@@ -181,8 +186,7 @@ def bootstrap_groups(
     exceed the group's, since draws are with replacement. An unknown value among the
     draws makes mean and sd NULL.
     """
-    if not 1 <= n_min <= n_max or iters < 1:
-        raise ValueError("need 1 <= n_min <= n_max and iters >= 1")
+    _check_grid(n_min, n_max, iters)
     packed = pack_groups(df, g, v, unit, seed, rng, chunk_rows)
     whole = _resample_whole(packed.filter(f"total <= {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
     split = _resample_split(packed.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng, chunk_rows)
@@ -243,6 +247,7 @@ def bootstrap_with_median(
     by themselves. Groups that are one array then meet their median before the resamples
     are unfolded, so a row per group is joined instead of one per resample.
     """
+    _check_grid(n_min, n_max, iters)
     packed = pack_groups(df, g, v, unit, seed, rng, chunk_rows)
     alone = packed.filter(f"total <= {chunk_rows}")
     if n_min <= at_n <= n_max:

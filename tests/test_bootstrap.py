@@ -97,8 +97,39 @@ def test_unknown_group_is_a_group(spark):
 
 
 def test_bad_grid_is_refused(data):
-    with pytest.raises(ValueError):
-        bootstrap.bootstrap_groups(data, "g", "v", "u", n_min=5, n_max=4)
+    for draw in (bootstrap.bootstrap_groups, bootstrap.bootstrap_with_median):
+        with pytest.raises(ValueError):
+            draw(data, "g", "v", "u", n_min=5, n_max=4)
+
+
+def test_a_hot_group_is_packed_in_bounded_arrays(spark):
+    df = spark.range(3000).selectExpr("if(id % 3 = 0, 'hot', cast(id % 40 as string)) g", "id u", "double(id) v")
+    packed = bootstrap.pack_groups(df, "g", "v", "u", chunk_rows=64).collect()
+    assert max(len(r.vals) for r in packed) == 64
+    assert sum(r.g == "hot" for r in packed) == 16
+    assert sorted(v for r in packed for v in r.vals) == [float(i) for i in range(3000)]
+    assert {(r.g, r.total) for r in packed if r.g == "hot"} == {("hot", 1000)}
+
+
+def test_draws_are_uniform_over_the_group(spark):
+    df = spark.range(500).selectExpr("'a' g", "id u", "double(id) v")
+    for chunk_rows in (1 << 15, 64):
+        boot = bootstrap.bootstrap_groups(df, "g", "v", "u", n_min=1, n_max=1, iters=5000, chunk_rows=chunk_rows)
+        drawn = [r.mean for r in boot.collect()]
+        counts = [sum(int(v) // 50 == k for v in drawn) for k in range(10)]
+        assert len(drawn) == 5000
+        assert sum((c - 500) ** 2 / 500 for c in counts) < 33.7  # chi-square, 9 df, 1e-4
+
+
+def test_whole_numbers_and_decimals_are_measurements_too(spark):
+    df = spark.range(60).selectExpr("id % 2 g", "id u", "cast(id as int) i", "cast(id as decimal(9, 2)) d", "double(id) x")
+    for chunk_rows in (1 << 15, 8):
+        options = dict(n_min=2, n_max=3, iters=4, chunk_rows=chunk_rows)
+        expected = keyed(bootstrap.bootstrap_groups(df, "g", "x", "u", **options))
+        for v in ("i", "d"):
+            boot = bootstrap.bootstrap_groups(df, "g", v, "u", **options)
+            assert [t for _, t in boot.dtypes][-2:] == ["double", "double"]
+            assert keyed(boot) == expected
 
 
 def test_moments_survive_large_offsets(spark):
