@@ -88,7 +88,7 @@ def staged_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.stage(boot_ci(spark, sf_dir))
 
 
-def boot_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+def segment_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.bootstrap_two(
         measured(spark, sf_dir), "c_mktsegment", *PAIR, ROOT, UNIT, **SMALL
     )
@@ -344,17 +344,17 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a27_bootstrap_two")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boot_two(spark, sf_dir)
+    return segment_boot(spark, sf_dir)
 
 
 @query("a28_two_group_curve")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.two_group_curve(boot_two(spark, sf_dir), n_tested=7, n_min=4)
+    return comparison.two_group_curve(segment_boot(spark, sf_dir), n_tested=7, n_min=4)
 
 
 @query("a29_diff_at")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.diff_at(boot_two(spark, sf_dir), 8)
+    return comparison.diff_at(segment_boot(spark, sf_dir), 8)
 
 
 @query("a30_pooled_se")

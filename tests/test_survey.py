@@ -10,12 +10,12 @@ N = [-1, 0, 1, 3, 4, 8, 70, 71, None]
 
 @pytest.fixture
 def lit(spark):
-    data = [("Insecta", "ctmax" if i % 2 else "ctmin", n, float(i)) for i, n in enumerate(N)]
-    return spark.createDataFrame([*data, ("Aves", "ctmax", 5, 1.0), (None, "ctmax", 5, 1.0)], "class string, metric string, n int, t double")
+    data = [("beetles", "upper" if i % 2 else "lower", n, float(i)) for i, n in enumerate(N)]
+    return spark.createDataFrame([*data, ("birds", "upper", 5, 1.0), (None, "upper", 5, 1.0)], "class string, metric string, n int, t double")
 
 
 def test_split_drops_unknown_classes(lit):
-    got = survey.split_by_metric(lit, "class", "Insecta", "metric", "ctmax", ["n", "t"])
+    got = survey.split_by_metric(lit, "class", "beetles", "metric", "upper", ["n", "t"])
     assert got.columns == ["n", "t"] and got.count() == 4
 
 
@@ -48,12 +48,12 @@ def test_distribution_and_shares(lit):
 
 def test_by_group_keeps_unknown_groups(lit):
     got = {r["class"]: r["median"] for r in survey.distribution_summary(lit, "n", "class").collect()}
-    assert got == {"Insecta": statistics.median([n for n in N if n is not None]), "Aves": 5.0, None: 5.0}
+    assert got == {"beetles": statistics.median([n for n in N if n is not None]), "birds": 5.0, None: 5.0}
 
 
 def test_survey_tables(lit):
-    tables = studies.survey_tables(lit, "class", "Insecta", {"ctmax": ("metric", "t"), "ctmin": ("metric", "t")})
-    assert tables["ctmax"]["known"].collect()[0].n_known == 4
-    assert tables["ctmin"]["known"].collect()[0].n_known == 4
-    assert tables["ctmin"]["distribution"].collect()[0].nn == 4
-    assert tables["ctmax"]["shares"].count() == 2 and tables["ctmin"]["histogram"].count() == 15
+    tables = studies.survey_tables(lit, "class", "beetles", {"upper": ("metric", "t"), "lower": ("metric", "t")})
+    assert tables["upper"]["known"].collect()[0].n_known == 4
+    assert tables["lower"]["known"].collect()[0].n_known == 4
+    assert tables["lower"]["distribution"].collect()[0].nn == 4
+    assert tables["upper"]["shares"].count() == 2 and tables["lower"]["histogram"].count() == 15
