@@ -55,6 +55,8 @@ def to_planes(ids: np.ndarray, block: int, bits: bool) -> list[bytes]:
 
 def from_planes(planes: list[bytes], n: int, block: int) -> np.ndarray:
     blocks = -(-n // block)
+    if not n:
+        return np.empty(0, "<u4")
     if len(planes) == 4:
         raw = np.stack([np.frombuffer(p, np.uint8).reshape(blocks, block) for p in planes], axis=2)
     else:

@@ -256,5 +256,5 @@ def near_duplicates(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     smallest = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(smallest, "root").select("fp", "component_id")
+    of = settle(member.join(smallest, "root").select("fp", "component_id"))
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")

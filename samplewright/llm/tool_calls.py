@@ -44,14 +44,15 @@ def argument_errors(calls: DataFrame, given: DataFrame, schemas: DataFrame) -> D
     ``schemas`` has a row per (name, param, kind, required). An integer is a number too. A tool without a
     row in ``schemas`` is unknown; arguments that are no JSON object are one error.
     """
+    objects = F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT")
     known = schemas.select("name").distinct().withColumn("known", F.lit(True))
     whole = calls.join(known, "name", "left").select(
         *KEYS,
         F.when(F.col("known").isNull(), "unknown tool")
-        .when(~F.coalesce(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT"), F.lit(False)), "no object")
+        .when(~F.coalesce(objects, F.lit(False)), "no object")
         .alias("error"),
     )
-    expected = calls.join(schemas, "name").select(
+    expected = calls.filter(objects).join(schemas, "name").select(
         *KEYS, F.col("param").alias("key"), F.col("kind").alias("wanted"), "required"
     )
     named = given.join(calls.join(known, "name", "left_semi").select(*KEYS), KEYS, "left_semi")

@@ -23,6 +23,7 @@ from samplewright.llm.common import held_out
 BITS = 20
 STEMS = (4, 5, 6)
 WORD = re.compile(r"[^\W_]+")
+UNTAUGHT = -30.0  # bias of a model that has seen no labels
 MEMO = 200_000  # words whose hashes a task remembers; more only cost time
 ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
@@ -115,18 +116,19 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_rows: int = 8_000,
-    epochs: int = 4,
-    alpha: float = 0.3,
+    max_rows: int = 12_000,
+    updates: int = 50_000,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 1.0,
-    l2: float = 0.1,
+    l1: float = 5.0,
+    l2: float = 0.01,
 ) -> Model:
-    """Learn from at most ``max_rows`` labelled documents outside the held-out fold.
+    """Learn from at most ``max_rows`` labelled documents outside the held-out fold, in about ``updates`` updates.
 
     The rows are those whose ids hash lowest, so any further row changes the sample little. Only their ids are
     broadcast; one task gets their texts and returns the weights. A document with several labels is positive
-    if one of them is; NULL labels and ids are passed over. Without labelled rows every score is 0.5.
+    if one of them is; NULL labels and ids are passed over. Without labelled rows there is nothing to go by, and
+    every score is close to 0.
     """
     known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out(F.col(doc_id)))
     known = known.groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).alias("_y"))
@@ -140,12 +142,15 @@ def fit(
             seen += [hasher(t).astype(np.int32) for t in batch["_text"]]
             order += batch["_order"].tolist()
             ys += batch["_y"].tolist()
+        if not seen:
+            return
         by = np.argsort(np.array(order), kind="stable")
+        epochs = min(20, -(-updates // len(seen)))
         model = ftrl([seen[i] for i in by], np.array(ys, float)[by], epochs, alpha, beta, l1, l2)
         yield pd.DataFrame({"at": [model.at], "weight": [model.weight], "bias": [model.bias]})
 
     got = rows.coalesce(1).mapInPandas(learn, "at array<int>, weight array<double>, bias double").collect()
-    return Model(*got[0]) if got else Model([], [], 0.0)
+    return Model(*got[0]) if got else Model([], [], UNTAUGHT)
 
 
 def score(model: Model, text: Column) -> Column:
