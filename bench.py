@@ -35,12 +35,15 @@ def main() -> None:
     customers = table("customer").select(UNIT, G, V, "c_mktsegment")
     parts = table("part").select("p_type", F.expr("nullif(p_size, 7)").alias("n"))
     cells = customers.withColumn("cell", F.concat_ws("/", G, "c_mktsegment"))
+    orders = table("orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     staged = stage(resample_with_ci(customers, G, V, UNIT))
     queries = {
         # 25 groups x 48 sizes x 499 iterations
         "bootstrap_25_groups": lambda: run(bootstrap_groups(customers, G, V, UNIT)),
         # 125 groups, 2,994,000 resamples
         "bootstrap_125_groups": lambda: run(bootstrap_groups(cells, "cell", V, UNIT)),
+        # 3 groups of about 50,000 rows, which are joined to their draws
+        "bootstrap_large_groups": lambda: run(bootstrap_groups(orders, "o_orderstatus", "o_totalprice", "o_orderkey")),
         "resample_with_ci_staged": lambda: stage(resample_with_ci(customers, G, V, UNIT)),
         "coverage_curve_end_to_end": lambda: run(coverage_curve(resample_with_ci(customers, G, V, UNIT), G)),
         "coverage_curve_from_staged": lambda: run(coverage_curve(staged, G)),
@@ -52,7 +55,7 @@ def main() -> None:
             )
         ),
         "welch_and_design": lambda: run(
-            comparison.design_analysis(comparison.pooled_se(customers, "c_mktsegment", V), [50.0, 250.0])
+            comparison.design_analysis(comparison.pooled_se(customers, "c_mktsegment", V, [("HOUSEHOLD", "MACHINERY")]), [50.0, 250.0])
         ),
         "survey_distribution": lambda: run(survey.distribution_summary(parts, "n", "p_type")),
         "survey_histogram": lambda: run(survey.histogram(parts, "n", by="p_type")),

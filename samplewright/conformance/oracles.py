@@ -1,13 +1,14 @@
 """DuckDB SQL for the queries, written independently of the operators.
 
-t quantiles for whole degrees of freedom are exact values in a VALUES list, p values and
-normal tails are Simpson integrals of the densities, and order-dependent results use plain
-windows over the whole table.
+t quantiles are found by bisecting a Simpson integral of the density (in Python for whole degrees of freedom, in SQL
+for others), p values and normal tails are Simpson integrals too, and order-dependent results use plain windows over
+the whole table. Nothing is shared with the functions under test.
 """
 
 from __future__ import annotations
 
-import numpy as np
+import math
+from functools import cache
 
 from samplewright.conformance.queries import (
     BATCHES,
@@ -21,21 +22,52 @@ from samplewright.conformance.queries import (
     SMALL,
     THRESHOLDS,
 )
-from samplewright.functions.normal import z_value
-from samplewright.functions.student import quantile, t_quantile_sql
 
 ROOT = "sqrt(abs(c_acctbal))"
-Z = f"{z_value(0.95)!r}"
+Z = "1.959963984540054"  # fixed value: the 0.975 quantile of the normal distribution
+
+
+@cache
+def _t975(df: int) -> float:
+    """The 0.975 quantile of Student's t: with x = sqrt(df) tan(u), the density is that of cos(u) ** (df - 1)."""
+    steps = 2000
+    constant = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+
+    def area(u: float) -> float:
+        weights = (1 if k in (0, steps) else 4 if k % 2 else 2 for k in range(steps + 1))
+        return constant * u / steps / 3 * sum(w * math.cos(u * k / steps) ** (df - 1) for k, w in enumerate(weights))
+
+    low, high = 0.0, math.pi / 2
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if area(middle) < 0.475 else (low, middle)
+    return math.sqrt(df) * math.tan(low)
+
+
+# The same in SQL for any degrees of freedom: 45 halvings of the angle, 240 intervals of Simpson's rule. lgamma of halves
+# keeps the constant finite.
+def _t_quantiles(source: str, df: str) -> str:
+    """CTEs that end in ``quantiles(df, q)`` for the distinct values of ``df`` in ``source``."""
+    mid, steps = "(low + high) / 2", 240
+    terms = f"[(CASE WHEN x IN (0, {steps}) THEN 1 WHEN x % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({mid} * x / {steps}), df - 1) FOR x IN range(0, {steps} + 1)]"
+    area = f"constant * {mid} / {steps} / 3 * list_sum({terms})"
+    return f"""halving AS (
+  SELECT DISTINCT {df} AS df, exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) AS constant,
+         0.0::DOUBLE AS low, pi() / 2 AS high, 0 AS k FROM {source} WHERE {df} IS NOT NULL
+  UNION ALL
+  SELECT df, constant, CASE WHEN {area} < 0.475 THEN {mid} ELSE low END, CASE WHEN {area} < 0.475 THEN high ELSE {mid} END, k + 1
+  FROM halving WHERE k < 45),
+quantiles AS (SELECT df, sqrt(df) * tan(low) AS q FROM halving WHERE k = 45)"""
 
 
 def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(repr(x) for x in row) + ")" for row in rows)
 
 
-def _final(source: str, keys: str, doubles: str) -> str:
-    """Select keys as they are and doubles at six decimals."""
+def _final(source: str, keys: str, doubles: str, decimals: int = 6) -> str:
+    """Select keys as they are and doubles at so many decimals."""
     cols = [k.strip() for k in keys.split(",") if k.strip()]
-    cols += [f"round({d.strip()}, 6) + 0.0::DOUBLE AS {d.strip()}" for d in doubles.split(",") if d.strip()]
+    cols += [f"round({d.strip()}, {decimals}) + 0.0::DOUBLE AS {d.strip()}" for d in doubles.split(",") if d.strip()]
     return f"SELECT {', '.join(cols)} FROM {source}"
 
 
@@ -61,8 +93,8 @@ def _draws(n_min: int, n_max: int, iters: int, **_: object) -> str:
        unnest(range(1, n + 1)) c(j))"""
 
 
-def _boot(grid: dict, g: str = "c_nationkey", v: str = ROOT, source: str = "customer") -> str:
-    return f"""{_pool(g, v, 'c_custkey', source)},
+def _boot(grid: dict, g: str = "c_nationkey", v: str = ROOT, source: str = "customer", unit: str = "c_custkey") -> str:
+    return f"""{_pool(g, v, unit, source)},
 {_draws(**grid)},
 boot AS (
   SELECT g AS {g}, sample_size, iter, {_strict('avg', 'value')} AS mean, {_strict('stddev_samp', 'value')} AS sd
@@ -71,10 +103,10 @@ boot AS (
 
 def _ci(grid: dict, source: str = "customer") -> str:
     sizes = range(grid["n_min"], grid["n_max"] + 1)
-    t = quantile(0.95, np.array([n - 1 for n in sizes]))
+    t = [_t975(n - 1) for n in sizes]
     return f"""{_boot(grid, source=source)},
 medians AS (
-  SELECT c_nationkey AS mg, median(mean) AS median_pop_val FROM boot WHERE sample_size = 30 GROUP BY 1),
+  SELECT c_nationkey AS mg, {_strict('median', 'mean')} AS median_pop_val FROM boot WHERE sample_size = 30 GROUP BY 1),
 tq(df, t) AS (VALUES {_values([(n - 1, float(x)) for n, x in zip(sizes, t)])}),
 ci AS (
   SELECT b.*, median_pop_val, sd / sqrt(sample_size) AS std_error, t::DOUBLE * (sd / sqrt(sample_size)) AS error,
@@ -137,6 +169,10 @@ change AS (
 
 # Segments ----------------------------------------------------------------------------
 
+ITEMS = """items AS (
+  SELECT 'all' AS grp, sqrt(l_extendedprice) AS root_price, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey,
+         l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) - 1 AS unit
+  FROM lineitem)"""
 RANKED = """ranked AS (
   SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment,
          row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat_ws('|', '2012', c_mktsegment, c_custkey)), c_custkey)
@@ -167,9 +203,10 @@ moments AS (
          avg(value) FILTER (g = '{PAIR[0]}') AS mean1, stddev_samp(value) FILTER (g = '{PAIR[0]}') AS sd1,
          avg(value) FILTER (g = '{PAIR[1]}') AS mean2, stddev_samp(value) FILTER (g = '{PAIR[1]}') AS sd2
   FROM draws GROUP BY 1, 2),
-errors AS (
-  SELECT *, {t_quantile_sql(df)} * sqrt((v1+v2)/n) AS e
-  FROM (SELECT *, sd1*sd1 AS v1, sd2*sd2 AS v2, sample_size::DOUBLE AS n FROM moments)),
+freedom AS (
+  SELECT *, {df} AS df FROM (SELECT *, sd1*sd1 AS v1, sd2*sd2 AS v2, sample_size::DOUBLE AS n FROM moments)),
+{_t_quantiles('freedom', 'df')},
+errors AS (SELECT f.*, q * sqrt((v1+v2)/n) AS e FROM freedom f LEFT JOIN quantiles USING (df)),
 boot2 AS (
   SELECT sample_size, iter, mean1, sd1, mean2, sd2, mean1 - mean2 AS mean_diff, mean1 - mean2 - e AS lower_ci,
          mean1 - mean2 + e AS upper_ci, 2 * e AS width_ci
@@ -183,22 +220,23 @@ def _curve2(n_tested: int, n_min: int) -> str:
   FROM boot2 WHERE sample_size >= {n_min} GROUP BY sample_size)"""
 
 
-def _pairs(pairs: list[tuple], source: str = "customer") -> str:
+def _pairs(pairs: list[tuple], source: str = "customer", g: str = "c_mktsegment", v: str = "c_acctbal") -> str:
+    listed = ", ".join("(" + ", ".join("NULL::VARCHAR" if x is None else repr(x) for x in p) + ")" for p in pairs)
     return f"""stats AS (
-  SELECT c_mktsegment AS g, avg(c_acctbal) AS mean, count(*) AS n, var_samp(c_acctbal) AS v FROM {source} GROUP BY 1),
-pairs(group1, group2) AS (VALUES {_values(pairs)}),
+  SELECT {g} AS g, avg({v}) AS mean, count(*) AS n, var_samp({v}) AS v FROM {source} GROUP BY 1),
+pairs(group1, group2) AS (VALUES {listed}),
 pair AS (
   SELECT group1, group2, a.mean AS mean1, a.n AS n1, a.v AS v1, b.mean AS mean2, b.n AS n2, b.v AS v2
-  FROM pairs JOIN stats a ON a.g = group1 JOIN stats b ON b.g = group2)"""
+  FROM pairs JOIN stats a ON a.g IS NOT DISTINCT FROM group1 JOIN stats b ON b.g IS NOT DISTINCT FROM group2)"""
 
 
 # Two-sided p: 1 - 2 * integral of the density over 0..|t|, by Simpson's rule.
 SIMPSON = 2000
 
 
-def _welch(pairs: list[tuple]) -> str:
+def _welch(pairs: list[tuple], *source: str) -> str:
     constant = "exp(lgamma((df+1)/2) - lgamma(df/2)) / sqrt(pi()*df)"
-    return f"""{_pairs(pairs)},
+    return f"""{_pairs(pairs, *source)},
 tested AS (
   SELECT *, (mean1-mean2) / sqrt(v1/n1 + v2/n2) AS t, sqrt(v1/n1 + v2/n2) AS se,
          pow(v1/n1 + v2/n2, 2) / (pow(v1/n1, 2)/(n1-1) + pow(v2/n2, 2)/(n2-1)) AS df
@@ -208,10 +246,12 @@ integrals AS (
          sum(CASE WHEN k IN (0, {SIMPSON}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
              * pow(1 + pow(abs(t)*k/{SIMPSON}, 2)/df, -(df+1)/2)) * any_value(abs(t)/{SIMPSON}/3 * {constant}) AS area
   FROM tested, unnest(range(0, {SIMPSON} + 1)) s(k) GROUP BY 1, 2),
+{_t_quantiles('tested', 'df')},
 welch AS (
-  SELECT group1, group2, mean1, mean2, t, df, 1 - 2*area AS p_value,
-         mean1 - mean2 - se * {t_quantile_sql('df')} AS lower_ci, mean1 - mean2 + se * {t_quantile_sql('df')} AS upper_ci
-  FROM tested JOIN integrals USING (group1, group2))"""
+  SELECT t.group1, t.group2, mean1, mean2, t, df, 1 - 2*area AS p_value, mean1 - mean2 - se * q AS lower_ci,
+         mean1 - mean2 + se * q AS upper_ci
+  FROM tested t JOIN integrals i ON t.group1 IS NOT DISTINCT FROM i.group1 AND t.group2 IS NOT DISTINCT FROM i.group2
+  JOIN quantiles USING (df))"""
 
 
 def _pooled(pairs: list[tuple], source: str = "customer") -> str:
@@ -225,7 +265,7 @@ pooled AS (
 def _design(pairs: list[tuple], source: str = "customer") -> str:
     return f"""{_pooled(pairs, source)},
 effects(possible_effect) AS (VALUES {_values([(e,) for e in EFFECTS])}),
-grid AS (SELECT group1, group2, possible_effect::DOUBLE AS possible_effect, se_diff, possible_effect/se_diff AS r
+grid AS (SELECT group1, group2, possible_effect::DOUBLE AS possible_effect, se_diff, abs(possible_effect)/se_diff AS r
          FROM pooled, effects),
 -- normal density integrated from 0 to z - r and from 0 to z + r
 areas AS (
@@ -243,7 +283,12 @@ design AS (
 
 # Literature --------------------------------------------------------------------------
 
+AWKWARD = """awkward AS (
+  SELECT doc_id, CASE WHEN lang = 'en' THEN 'NA' WHEN lang = 'de' THEN '' WHEN lang <> 'fr' THEN lang END AS lang,
+         '"' || source || '", "' || text || '"' AS text
+  FROM documents)"""
 LITERATURE = "lit AS (SELECT p_partkey, p_type, p_brand, nullif(p_size, 7) AS n, p_retailprice FROM part)"
+SURVEYED = "lit AS (SELECT nullif(p_size, 7) AS n FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2')"
 DISTRIBUTION = """median(n)::DOUBLE AS median, min(n) AS min, max(n) AS max, stddev_samp(n) AS sd, count(n) AS nn,
          stddev_samp(n) / sqrt(count(n)) AS se"""
 
@@ -251,7 +296,7 @@ DISTRIBUTION = """median(n)::DOUBLE AS median, min(n) AS min, max(n) AS max, std
 def _shares(by: str = "") -> str:
     parts = [
         f"SELECT {by} count(n) AS n_known, {t}.0::DOUBLE AS threshold, count(*) FILTER (n > {t}) AS n_above, "
-        f"count(*) FILTER (n > {t}) / count(n)::DOUBLE AS prop_above FROM lit GROUP BY ALL"
+        f"count(*) FILTER (n > {t}) / nullif(count(n), 0)::DOUBLE AS prop_above FROM lit GROUP BY ALL"
         for t in THRESHOLDS
     ]
     return f"shares AS ({' UNION ALL '.join(parts)})"
@@ -280,6 +325,7 @@ def oracles() -> dict[str, str]:
     welch_cols = ("group1, group2", "mean1, mean2, t, df, p_value, lower_ci, upper_ci")
     design_cols = ("group1, group2", "possible_effect, se_diff, power, type_s, type_m")
     study_grid = dict(n_min=3, n_max=50, iters=99)
+    full, large = dict(n_min=3, n_max=50, iters=499), dict(n_min=3, n_max=50, iters=99)
 
     def boot(text: str, where: str = "") -> str:
         return f"WITH {text} {_final('boot' + where, *boot_cols)}"
@@ -287,11 +333,14 @@ def oracles() -> dict[str, str]:
     tested15 = f"{RANKED}, tested AS (SELECT * FROM ranked WHERE ordinal <= 15)"
     tested20 = f"{RANKED}, tested AS (SELECT * FROM ranked WHERE ordinal <= 20)"
     unknown = "(SELECT * REPLACE (CASE WHEN c_acctbal < -500 THEN NULL ELSE c_acctbal END AS c_acctbal) FROM customer)"
+    unknown_few = unknown.replace("-500", "-900")
     return {
         "a01_decimal_comma_csv": "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS l_extendedprice FROM lineitem",
         "a02_csv": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
         "a03_stage": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer",
         "a03_stage_csv": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+        "a02_csv_text_by_name": f"WITH {AWKWARD} SELECT text, nullif(lang, 'NA') AS lang, doc_id FROM awkward",
+        "a03_stage_csv_text": f"WITH {AWKWARD} SELECT * FROM awkward",
         "a04_clean_names": "SELECT c_custkey AS customer_key, c_name AS customer_name, c_nationkey AS nation_number, "
         "c_acctbal AS balance_percent, c_mktsegment AS customer_name_2 FROM customer",
         "a05_coerce_numeric": "SELECT l_orderkey, l_linenumber, "
@@ -307,10 +356,18 @@ def oracles() -> dict[str, str]:
         "UNION ALL SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders)",
         "a10_bootstrap_groups": boot(small),
         "a10_bootstrap_with_unknown_values": boot(_boot(SMALL, source=unknown)),
+        "a10_bootstrap_default_grid": boot(_boot(full)),
+        "a10_bootstrap_large_group": f"WITH {ITEMS}, {_boot(large, 'grp', 'root_price', 'items', 'unit')} "
+        f"{_final('boot', 'grp, sample_size, iter', 'mean, sd')}",
+        "a15a_coverage_large_constant": "SELECT 'all' AS grp, n::INTEGER AS sample_size, 19::INTEGER AS max_n, NULL::DOUBLE AS n_correct, "
+        "NULL::DOUBLE AS prop_correct FROM unnest(range(3, 51)) s(n)",
         "a11_bootstrap_batches": boot(small, f" WHERE c_nationkey IN {tuple(x for b in BATCHES for x in b)}"),
         "a12_exclude_groups": boot(small, f" WHERE c_nationkey NOT IN {tuple(EXCLUDED)}"),
         "a12_exclude_groups_table": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
         "WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
+        "a12_exclude_null_group": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
+        f"WHERE c_nationkey NOT IN {(5, *EXCLUDED)}",
+        "a13_population_median_unknown": f"WITH {_ci(MEDIUM, unknown_few)} {_final('ci', *median_cols)}",
         "a13_population_median": f"WITH {ci} {_final('ci', *median_cols)}",
         "a13_population_median_full_join": f"WITH {medium}, medians AS (SELECT c_nationkey AS mg, median(mean) AS median_pop_val "
         "FROM boot WHERE sample_size = 30 GROUP BY 1), "
@@ -340,12 +397,15 @@ def oracles() -> dict[str, str]:
         "a25_group_summary_singletons": "WITH v AS (SELECT s_nationkey, CASE WHEN s_acctbal >= -800 THEN s_acctbal END AS x FROM supplier), "
         f"s AS (SELECT s_nationkey, {_strict('avg', 'x')} AS mean, count(*) AS n, {_strict('stddev_samp', 'x')} AS sd, "
         f"{_strict('stddev_samp', 'x')} / sqrt(count(*)) AS se FROM v GROUP BY 1) {_final('s', 's_nationkey, n', 'mean, sd, se')}",
-        "a26_welch_test": f"WITH {_welch(PAIRS)} {_final('welch', *welch_cols)}",
-        "a26_welch_first_two_levels": f"WITH {_welch([tuple(SEGMENTS[:2])])} {_final('welch', *welch_cols)}",
-        "a27_bootstrap_two": f"WITH {_two(SMALL)} {_final('boot2', *two_cols)}",
-        "a28_two_group_curve": f"WITH {_two(SMALL)}, {_curve2(7, 4)} {_final('curve', *curve2_cols)}",
-        "a29_diff_at": f"WITH {_two(SMALL)}, d AS (SELECT avg(lower_ci) AS lower_ci, avg(upper_ci) AS upper_ci, "
-        f"avg(mean_diff) AS mean_diff FROM boot2 WHERE sample_size = 8) {_final('d', '', 'lower_ci, upper_ci, mean_diff')}",
+        "a26_welch_test": f"WITH RECURSIVE {_welch(PAIRS)} {_final('welch', *welch_cols, 3)}",
+        "a26_welch_two_groups": f"WITH RECURSIVE {_welch([('F', 'O')], 'lineitem', 'l_linestatus', 'l_discount')} "
+        f"{_final('welch', *welch_cols, 3)}",
+        "a26_welch_null_group": "WITH RECURSIVE items AS (SELECT nullif(l_linestatus, 'F') AS s, l_discount FROM lineitem), "
+        f"{_welch([('O', None)], 'items', 's', 'l_discount')} {_final('welch', *welch_cols, 3)}",
+        "a27_bootstrap_two": f"WITH RECURSIVE {_two(SMALL)} {_final('boot2', *two_cols, 3)}",
+        "a28_two_group_curve": f"WITH RECURSIVE {_two(SMALL)}, {_curve2(7, 4)} {_final('curve', *curve2_cols, 3)}",
+        "a29_diff_at": f"WITH RECURSIVE {_two(SMALL)}, d AS (SELECT avg(lower_ci) AS lower_ci, avg(upper_ci) AS upper_ci, "
+        f"avg(mean_diff) AS mean_diff FROM boot2 WHERE sample_size = 8) {_final('d', '', 'lower_ci, upper_ci, mean_diff', 3)}",
         "a30_pooled_se": f"WITH {_pooled(PAIRS)} {_final('pooled', 'group1, group2, n1, n2', 's_pooled, se_diff')}",
         "a31_design_analysis": f"WITH {_design(PAIRS)} {_final('design', *design_cols)}",
         "a32_split_by_metric": f"WITH {LITERATURE} SELECT p_partkey, n, p_retailprice FROM lit "
@@ -360,11 +420,20 @@ def oracles() -> dict[str, str]:
         f"{_final('shares', 'p_type, n_known, n_above', 'threshold, prop_above')}",
         "a36_histogram": f"WITH {LITERATURE}, {_histogram()} SELECT * FROM hist",
         "a36_histogram_by_type": f"WITH {LITERATURE}, {_histogram('p_type,')} SELECT * FROM hist",
+        "a36_histogram_group_outside": "WITH lit AS (SELECT p_type, nullif(p_size, 7) + CASE WHEN p_type = 'ECONOMY' THEN 100 ELSE 0 END "
+        f"AS n FROM part), {_histogram('p_type,')} SELECT * FROM hist",
+        "study_coverage_default_grid": f"WITH {_coverage(full)} {_final('curve', 'sample_size', 'prop_correct, lower_ci, upper_ci')}",
+        "study_precision_default_grid": f"WITH {_precision(full)} "
+        f"{_final('change', 'sample_size', 'ci_change_mean, ci_change_sd, lower_se, upper_se, ci_se')}",
+        "study_survey_shares": f"WITH {SURVEYED}, {_shares()} {_final('shares', 'n_known, n_above', 'threshold, prop_above')}",
+        "study_survey_histogram": f"WITH {SURVEYED}, {_histogram()} SELECT * FROM hist",
+        "study_survey_distribution": f"WITH {SURVEYED}, d AS (SELECT {DISTRIBUTION} FROM lit WHERE n IS NOT NULL) "
+        f"{_final('d', 'min, max, nn', 'median, sd, se')}",
         "study_coverage_curve": f"WITH {_coverage(study_grid, kept)} {_final('curve', 'sample_size', 'prop_correct, lower_ci, upper_ci')}",
         "study_clean_measurements": f"""WITH {LONG}, kept AS (
   SELECT segment || '_deg_c' AS "group", count(*) AS n, count(*) AS last, avg(balance) AS mean
   FROM long WHERE rep <= 30 AND segment <> 'machinery' GROUP BY 1) {_final('kept', '"group", n, last', 'mean')}""",
-        "study_two_groups": f"WITH {tested15}, {_two(SMALL, 'c_acctbal', 'tested', 'ordinal')}, {_curve2(15, 3)} {_final('curve', *curve2_cols)}",
+        "study_two_groups": f"WITH RECURSIVE {tested15}, {_two(SMALL, 'c_acctbal', 'tested', 'ordinal')}, {_curve2(15, 3)} {_final('curve', *curve2_cols, 2)}",
         "study_two_groups_design": f"WITH {tested20}, {_design([PAIR], 'tested')} {_final('design', *design_cols)}",
         "p_select": "SELECT p_partkey, p_name AS name, p_size, p_retailprice, round(p_retailprice / sqrt(p_size), 6) AS unit_price, "
         "abs(p_size - 25) AS size_change, pow(p_size, 2) AS size_squared FROM part",
@@ -373,7 +442,8 @@ def oracles() -> dict[str, str]:
         "p_dropna": "SELECT doc_id, lang, quality, toxic FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NOT NULL",
         "p_case": f"WITH {LITERATURE} SELECT p_partkey, CASE WHEN n > 30 THEN 1 ELSE 0 END AS with_default, "
         "CASE WHEN n < 10 THEN 0 WHEN n > 20 THEN 1 END AS without_default, CASE WHEN n > 40 THEN 40 ELSE n END AS if_else FROM lit",
-        "p_full_join": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality FROM (SELECT * FROM documents WHERE lang <> 'en') d "
+        "p_full_join": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, quality "
+        "FROM (SELECT nullif(doc_id, 3) AS doc_id, lang FROM documents) d "
         "FULL JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id",
         "p_cross": "SELECT c_mktsegment, c_nationkey, n::INTEGER AS sample_size, i::INTEGER AS iter "
         "FROM (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer), unnest(range(3, 11)) a(n), unnest(range(1, 10)) b(i)",

@@ -7,7 +7,7 @@ other SQL engines can replay. All functions return SQL text.
 from __future__ import annotations
 
 RNGS = ("xxhash64", "md5")
-SLICE_BITS = 16
+SLICE_BITS = 32  # of the key space, so that slices are equal for any count of partitions
 
 
 def _check(rng: str) -> None:
@@ -31,7 +31,7 @@ def slice_of(rng: str, key: str, slices: int) -> str:
         top = f"shiftright({key}, {64 - SLICE_BITS}) + {1 << (SLICE_BITS - 1)}"
     else:
         top = f"cast(conv(substring({key}, 1, {SLICE_BITS // 4}), 16, 10) AS BIGINT)"
-    return f"cast(shiftright(({top}) * {min(slices, 1 << SLICE_BITS)}L, {SLICE_BITS}) AS INT)"
+    return f"cast(shiftright(({top}) * {slices}L, {SLICE_BITS}) AS INT)"
 
 
 def draw_prefix(rng: str, seed: int, *keys: str) -> str:

@@ -3,14 +3,12 @@
 How a group of any size is resampled without holding it in one place:
 
 1. every row gets a random ordinal 1..N in its group (:func:`shuffle_rank`);
-2. the values are packed into arrays of at most ``CHUNK_ROWS`` consecutive ordinals;
-3. a group that is one array answers all its draws in place;
-4. otherwise every array goes through the group's whole list of draws (size, iteration,
-   draw number), which costs one hash each, and answers those that fall in its range.
-   Mean and standard deviation are then merged across arrays by partial aggregation.
-
-A draw depends on its keys only, so results do not change with partitioning, chunking
-or batching.
+2. a group of at most ``CHUNK_ROWS`` rows is packed into one array, which answers all its draws in place;
+3. for a larger group the draws (size, iteration, draw number, ordinal) are made from its total alone and equi-joined
+   to its rows on (group, ordinal); a resample then gathers its values, at most ``n_max``, in the order of the draws.
+
+The size of a group chooses the plan and nothing else: both ways see the same values in the same order and fold them
+by the same arithmetic. A draw depends on its keys only, so results do not change with partitioning or batching.
 """
 
 from __future__ import annotations
@@ -49,12 +47,20 @@ def pack_groups(
 
     Array ``chunk`` holds the values with ordinals ``chunk * chunk_rows + 1`` onwards.
     """
+    return _pack(_ranked(df, g, v, unit, seed, rng), g, chunk_rows)
+
+
+def _ranked(df: DataFrame, g: str, v: str, unit: str | Sequence[str], seed: int, rng: str) -> DataFrame:
+    """``g, _v, _ordinal, total`` of every row."""
     needed = df.selectExpr(quoted(g), f"cast({quoted(v)} AS DOUBLE) AS _v", *[quoted(c) for c in columns(unit) if c != g])
-    ranked = shuffle_rank(needed, g, unit, seed, rng, "_ordinal", "total")
+    return shuffle_rank(needed, g, unit, seed, rng, "_ordinal", "total").select(g, "_v", "_ordinal", "total")
+
+
+def _pack(ranked: DataFrame, g: str, chunk_rows: int) -> DataFrame:
     # An explicit shuffle: what follows is heavy for its bytes, so the partitions should
     # not be merged by size, and a map-side collect_list would only cost memory.
     placed = ranked.selectExpr("*", f"(_ordinal - 1) div {chunk_rows} AS chunk").repartition(
-        shuffle_partitions(df.sparkSession), g, "chunk"
+        shuffle_partitions(ranked.sparkSession), g, "chunk"
     )
     return placed.groupBy(g, "chunk").agg(
         F.expr("first(total) AS total"), F.expr("sort_array(collect_list(struct(_ordinal, _v)))._v AS vals")
@@ -62,7 +68,7 @@ def pack_groups(
 
 
 def _grid(work: DataFrame, g: str, n_min: int, n_max: int, seed: int, rng: str, iterations: str) -> DataFrame:
-    """One row per resample: packed row x ``iter`` x ``sample_size``, with its draw prefix."""
+    """One row per resample: row of ``work`` x ``iter`` x ``sample_size``, with its draw prefix."""
     return (
         work.selectExpr("*", f"explode({iterations}) AS iter")
         .selectExpr("*", f"explode(sequence({n_min}, {n_max})) AS sample_size")
@@ -70,6 +76,38 @@ def _grid(work: DataFrame, g: str, n_min: int, n_max: int, seed: int, rng: str,
     )
 
 
+def _lanes(df: DataFrame, g: str, per_group: int, iters: int, held: str) -> DataFrame:
+    """Few groups would give few tasks, so the iterations of a group are dealt out to lanes of equal work."""
+    lanes = f"cast(least(ceil({per_group} / greatest({LANE_DRAWS}, {held})), {iters}) AS INT)"
+    return (
+        df.selectExpr("*", f"{lanes} AS _lanes")
+        .selectExpr("*", "explode(sequence(1, _lanes)) AS _lane")
+        .repartition(shuffle_partitions(df.sparkSession), g, "_lane")
+    )
+
+
+def _pivot(first: str) -> str:
+    """What the moments of a resample are taken about: its first value, or zero if that is infinite or no number.
+
+    It keeps constant resamples at a standard deviation of exactly zero and bounds the loss of precision of all others
+    by a factor of n + 1.
+    """
+    return f"CASE WHEN isnan({first}) OR abs({first}) = double('infinity') THEN 0D ELSE {first} END"
+
+
+def _moments(sums: DataFrame, g: str, carried: Sequence[str] = ()) -> DataFrame:
+    """Mean and sd from the sums of deviations and of their squares."""
+    squares = "greatest(_s2 - _s1 * _s1 / sample_size, 0D)"
+    return sums.selectExpr(
+        quoted(g),
+        "sample_size",
+        "iter",
+        "_pivot + _s1 / sample_size AS mean",
+        f"CASE WHEN _s1 IS NOT NULL AND sample_size > 1 THEN sqrt({squares} / greatest(sample_size - 1, 1)) END AS sd",
+        *carried,
+    )
+
+
 def _resample_whole(
     packed: DataFrame,
     g: str,
@@ -82,22 +120,12 @@ def _resample_whole(
 ) -> DataFrame:
     """Resample groups that are one array each.
 
-    Few groups would give few tasks, so the iterations of a group are dealt out to lanes
-    of equal work; copies of its values stay below an eighth of its draws. All draws of
-    a resample are then in one task, and the aggregate over them needs no shuffle.
-
-    A row stands for ``BLOCK`` draws. Moments are taken about the first value drawn,
-    which keeps constant resamples at a standard deviation of exactly zero and bounds
-    the loss of precision of all others by a factor of n + 1. Columns in ``carry`` are
-    copied from the packed row to its resamples.
+    Copies of the values in several lanes stay below an eighth of the draws. All draws of a resample are in one
+    task, and the aggregate over them needs no shuffle. A row stands for ``BLOCK`` draws. Columns in ``carry``
+    are copied from the packed row to its resamples.
     """
     per_group = iters * sum(range(n_min, n_max + 1))
-    lanes = f"cast(least(ceil({per_group} / greatest({LANE_DRAWS}, 8L * size(vals))), {iters}) AS INT)"
-    work = (
-        packed.selectExpr("*", f"{lanes} AS _lanes")
-        .selectExpr("*", "explode(sequence(1, _lanes)) AS _lane")
-        .repartition(shuffle_partitions(packed.sparkSession), g, "_lane")
-    )
+    work = _lanes(packed, g, per_group, iters, "8L * size(vals)")
 
     def drawn(j: str) -> str:
         return f"get(vals, cast({draw_index(rng, '_prefix', j, 'total')} AS INT))"
@@ -105,7 +133,8 @@ def _resample_whole(
     keys = [quoted(g), "_lane", "sample_size", "iter"]
     blocks = (
         _grid(work, g, n_min, n_max, seed, rng, f"sequence(_lane, {iters}, _lanes)")
-        .selectExpr("*", f"{drawn('1')} AS _pivot")
+        .selectExpr("*", f"{drawn('1')} AS _one")
+        .selectExpr("*", f"{_pivot('_one')} AS _pivot")
         .selectExpr("*", f"explode(sequence(1, sample_size, {BLOCK})) AS _first")
     )
     deviations = [
@@ -126,41 +155,44 @@ def _resample_whole(
         F.expr("sum(_s2) AS _s2"),
         *[F.expr(f"first({c}) AS {c}") for c in carried],
     )
-    squares = "greatest(_s2 - _s1 * _s1 / sample_size, 0D)"
-    return moments.selectExpr(
-        quoted(g),
-        "sample_size",
-        "iter",
-        "_pivot + _s1 / sample_size AS mean",
-        f"CASE WHEN _s1 IS NOT NULL AND sample_size > 1 THEN sqrt({squares} / greatest(sample_size - 1, 1)) END AS sd",
-        *carried,
-    )
+    return _moments(moments, g, carried)
 
 
 def _resample_split(
-    packed: DataFrame, g: str, n_min: int, n_max: int, iters: int, seed: int, rng: str, chunk_rows: int
+    ranked: DataFrame, g: str, n_min: int, n_max: int, iters: int, seed: int, rng: str
 ) -> DataFrame:
-    """Resample groups that are spread over several arrays.
+    """Resample groups that are spread over many rows: ``g, _v, _ordinal, total``.
 
-    Every array goes through all draws and keeps its own. A row stands for ``BLOCK``
-    draws and is dropped before it is unfolded if none of them falls in the array. There
-    are arrays enough to fill a cluster, so they stay where they are.
+    The draws follow from the total of a group, which its first row knows. They are joined to the rows on (group,
+    ordinal), so only what is drawn moves on, and no ordinal is hot. A resample gathers its values, ``n_max`` at
+    most, sorted by draw number, and folds them block by block as :func:`_resample_whole` does.
     """
-    positions = [draw_index(rng, "_prefix", f"_first + {k}", "total") for k in range(BLOCK)]
-    in_block = [f"_first + {k} <= sample_size" for k in range(BLOCK)]
-    any_own = " OR ".join(f"({i} AND {p} div {chunk_rows} = chunk)" for i, p in zip(in_block, positions))
-    listed = ", ".join(f"CASE WHEN {i} THEN {p} END" for i, p in zip(in_block, positions))
-    own = (
-        _grid(packed, g, n_min, n_max, seed, rng, f"sequence(1, {iters})")
+    totals = ranked.filter("_ordinal = 1").select(g, "total")
+    per_group = iters * sum(range(n_min, n_max + 1))
+    at = [f"_first + {k}" for k in range(BLOCK)]
+    listed = ", ".join(
+        f"CASE WHEN {j} <= sample_size THEN struct({j} AS _j, {draw_index(rng, '_prefix', j, 'total')} + 1 AS _at) END"
+        for j in at
+    )
+    draws = (
+        _grid(_lanes(totals, g, per_group, iters, "0L"), g, n_min, n_max, seed, rng, f"sequence(_lane, {iters}, _lanes)")
         .selectExpr("*", f"explode(sequence(1, sample_size, {BLOCK})) AS _first")
-        .filter(any_own)
-        .selectExpr(quoted(g), "sample_size", "iter", "chunk", "vals", f"explode(array({listed})) AS _at")
-        .filter(f"_at div {chunk_rows} <=> chunk")
-        .selectExpr(quoted(g), "sample_size", "iter", f"get(vals, cast(_at % {chunk_rows} AS INT)) AS _value")
+        .selectExpr(quoted(g), "sample_size", "iter", f"inline(filter(array({listed}), x -> x IS NOT NULL))")
+    )
+    rows = ranked.select(F.col(g).alias("_group"), "_v", "_ordinal")
+    drawn = draws.join(rows, F.col(g).eqNullSafe(F.col("_group")) & (F.col("_at") == F.col("_ordinal")))
+    gathered = drawn.groupBy(g, "sample_size", "iter").agg(
+        F.expr("sort_array(collect_list(struct(_j, _v)))._v AS _vals")
+    )
+    pivoted = gathered.selectExpr("*", "get(_vals, 0) AS _one").selectExpr("*", f"{_pivot('_one')} AS _pivot")
+    d = [f"CASE WHEN f + {k} <= sample_size THEN get(_vals, f + {k} - 1) - _pivot ELSE 0D END" for k in range(BLOCK)]
+    fold = lambda terms: (
+        f"aggregate(sequence(1, sample_size, {BLOCK}), 0D, (s, f) -> s + ({' + '.join(terms)}))"
     )
-    return own.groupBy(g, "sample_size", "iter").agg(
-        strict(F.avg, "_value").alias("mean"), strict(F.stddev_samp, "_value").alias("sd")
+    sums = pivoted.selectExpr(
+        quoted(g), "sample_size", "iter", "_pivot", f"{fold(d)} AS _s1", f"{fold([f'({x}) * ({x})' for x in d])} AS _s2"
     )
+    return _moments(sums, g)
 
 
 def _check_grid(n_min: int, n_max: int, iters: int) -> None:
@@ -187,9 +219,10 @@ def bootstrap_groups(
     draws makes mean and sd NULL.
     """
     _check_grid(n_min, n_max, iters)
-    packed = pack_groups(df, g, v, unit, seed, rng, chunk_rows)
-    whole = _resample_whole(packed.filter(f"total <= {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
-    split = _resample_split(packed.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng, chunk_rows)
+    ranked = _ranked(df, g, v, unit, seed, rng)
+    packed = _pack(ranked.filter(f"total <= {chunk_rows}"), g, chunk_rows)
+    whole = _resample_whole(packed, g, n_min, n_max, iters, seed, rng)
+    split = _resample_split(ranked.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
     return whole.unionByName(split)
 
 
@@ -205,7 +238,7 @@ def _medians(boot: DataFrame, g: str, at_n: int, n: str, mean: str) -> DataFrame
     return (
         boot.filter(F.col(n) == at_n)
         .groupBy(F.col(g).alias("_group"))
-        .agg(F.median(mean).cast("double").alias("median_pop_val"))
+        .agg(strict(F.median, mean).cast("double").alias("median_pop_val"))
     )
 
 
@@ -216,7 +249,7 @@ def attach_population_median(
 
     The medians come from ``boot`` itself, so a left join loses nothing against a full
     one. It carries no hint: Spark broadcasts the medians where it measures them to be
-    small. The median of one group sees one value per iteration.
+    small. The median of one group sees one value per iteration, and is NULL if one of them is.
     """
     if how not in ("left", "full"):
         raise ValueError("how must be 'left' or 'full'")
@@ -248,8 +281,8 @@ def bootstrap_with_median(
     are unfolded, so a row per group is joined instead of one per resample.
     """
     _check_grid(n_min, n_max, iters)
-    packed = pack_groups(df, g, v, unit, seed, rng, chunk_rows)
-    alone = packed.filter(f"total <= {chunk_rows}")
+    ranked = _ranked(df, g, v, unit, seed, rng)
+    alone = _pack(ranked.filter(f"total <= {chunk_rows}"), g, chunk_rows)
     if n_min <= at_n <= n_max:
         reference = _resample_whole(alone, g, at_n, at_n, iters, seed, rng)
         medians = _medians(reference, g, at_n, "sample_size", "mean")
@@ -257,7 +290,7 @@ def bootstrap_with_median(
     else:
         alone = alone.withColumn("median_pop_val", F.lit(None).cast("double"))
     whole = _resample_whole(alone, g, n_min, n_max, iters, seed, rng, ["median_pop_val"])
-    split = _resample_split(packed.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng, chunk_rows)
+    split = _resample_split(ranked.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
     return whole.unionByName(attach_population_median(split, g, at_n))
 
 
@@ -294,7 +327,10 @@ def bootstrap_two(
     level: float = 0.95,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Resample two groups side by side; difference of means with a Welch t interval."""
+    """Resample two groups side by side; difference of means with a Welch t interval.
+
+    A group without rows is an error, raised when the resamples are read. NULL names no group.
+    """
     pair = df.filter(F.col(g).isin(group1, group2))
     boot = bootstrap_groups(pair, g, v, unit, n_min, n_max, iters, seed, rng, chunk_rows)
     both = boot.groupBy("sample_size", "iter").agg(
@@ -302,8 +338,11 @@ def bootstrap_two(
             F.max(F.when(F.col(g) == F.lit(name), F.col(c))).alias(f"{c}{i}")
             for i, name in ((1, group1), (2, group2))
             for c in ("mean", "sd")
-        ]
+        ],
+        *[F.count(F.when(F.col(g) == F.lit(name), 1)).alias(f"_n{i}") for i, name in ((1, group1), (2, group2))],
     )
+    absent = F.when(F.col("_n1") * F.col("_n2") == 0, F.raise_error(F.lit(f"{group1!r} or {group2!r} has no rows")))
+    both = both.filter(F.coalesce(absent.cast("boolean"), F.lit(True))).drop("_n1", "_n2")
     n = F.col("sample_size")
     v1, v2 = F.col("sd1") * F.col("sd1"), F.col("sd2") * F.col("sd2")
     return (

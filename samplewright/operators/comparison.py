@@ -41,25 +41,31 @@ def pair_summaries(
 ) -> DataFrame:
     """One row per pair: ``group1, group2, mean1, n1, sd1, mean2, n2, sd2``.
 
-    Without ``pairs``, the first two groups in sort order are compared.
+    Without ``pairs`` there must be exactly two groups, a NULL group counting as one (it comes second); anything
+    else is an error. So is a listed group without rows. Errors are raised when the result is read.
     """
     summary = group_summary(df, g, v).drop("se")
+    row = F.struct(F.col(g).alias("g"), "mean", "n", "sd")
     if pairs is None:
-        two = summary.orderBy(F.col(g).asc_nulls_last()).limit(2)
-        row = F.struct(g, "mean", "n", "sd")
-        rows = two.agg(F.min_by(row, g).alias("a"), F.max_by(row, g).alias("b"), F.count(F.lit(1)).alias("c"))
-        rows = rows.filter(F.col("c") == 2)
+        # Three rows at most are kept of however many groups: enough to tell that there are not two.
+        few = summary.orderBy(F.col(g).asc_nulls_last()).limit(3)
+        listed = few.agg(F.sort_array(F.collect_list(F.struct(F.col(g).isNull().alias("null"), row.alias("row")))).alias("all"))
+        wrong = F.raise_error(F.lit(f"a comparison without pairs needs exactly two groups in {g}"))
+        rows = listed.filter(F.when(F.size("all") == 2, F.lit(True)).otherwise(wrong.cast("boolean")))
+        rows = rows.select(F.col("all")[0]["row"].alias("a"), F.col("all")[1]["row"].alias("b"))
     else:
-        listed = F.array(*[F.struct(F.lit(a).alias("group1"), F.lit(b).alias("group2")) for a, b in pairs])
-        pair = df.sparkSession.range(1).select(F.inline(listed))
-        first = summary.select(F.struct(g, "mean", "n", "sd").alias("a"))
-        second = summary.select(F.struct(g, "mean", "n", "sd").alias("b"))
-        rows = pair.join(first, F.col("group1") == F.col(f"a.{g}")).join(
-            second, F.col("group2") == F.col(f"b.{g}")
+        wanted = F.array(*[F.struct(F.lit(a).alias("group1"), F.lit(b).alias("group2")) for a, b in pairs])
+        pair = df.sparkSession.range(1).select(F.inline(wanted))
+        rows = (
+            pair.join(summary.select(row.alias("a")), F.col("group1").eqNullSafe(F.col("a.g")), "left")
+            .join(summary.select(row.alias("b")), F.col("group2").eqNullSafe(F.col("b.g")), "left")
         )
+        missing = F.raise_error(F.concat(F.lit("no rows in "), F.to_json(F.struct("group1", "group2"))))
+        found = F.col("a").isNotNull() & F.col("b").isNotNull()
+        rows = rows.filter(F.when(found, F.lit(True)).otherwise(missing.cast("boolean")))
     return rows.select(
-        F.col(f"a.{g}").alias("group1"),
-        F.col(f"b.{g}").alias("group2"),
+        F.col("a.g").alias("group1"),
+        F.col("b.g").alias("group2"),
         *[F.col(f"{s}.{c}").alias(f"{c}{i}") for i, s in ((1, "a"), (2, "b")) for c in ("mean", "n", "sd")],
     )
 
@@ -110,14 +116,16 @@ def design_analysis(df: DataFrame, effects: Sequence[float], se: str = "se_diff"
 
     Type S is the chance that a significant estimate has the wrong sign, Type M the
     factor by which it overstates the effect on average; both in closed form for a
-    normal estimate.
+    normal estimate. The sign of an effect does not matter; zero has no sign to get wrong and is refused.
     """
+    if any(e == 0 for e in effects):
+        raise ValueError("effects must not be zero")
     z = z_value(1.0 - alpha)
     right, wrong = upper_tail(f"({z!r} - _shift)"), upper_tail(f"({z!r} + _shift)")
     partial = density(f"{z!r} - _shift") + density(f"{z!r} + _shift")
     grid = df.withColumn("possible_effect", F.explode(F.array(*[F.lit(float(e)) for e in effects])))
     return (
-        grid.withColumn("_shift", ratio("possible_effect", se))
+        grid.withColumn("_shift", ratio(F.abs("possible_effect"), se))
         .withColumns({"_right": right, "_wrong": wrong})
         .withColumn("power", F.col("_right") + F.col("_wrong"))
         .withColumn("type_s", ratio("_wrong", "power"))

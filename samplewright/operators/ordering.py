@@ -82,15 +82,17 @@ def shuffle_rank(
     """Randomly permute every group and number its rows 1..n.
 
     The order is that of a hash of (seed, group, unit), so it depends on the data only.
-    ``unit`` names the columns that identify a row inside its group. ``total``, if
-    given, names a column for the group size.
+    ``unit`` names the columns that identify a row inside its group; rows that share a unit are ordered by a hash of
+    their other columns, so that they too keep their places when a task is run again. ``total``, if given, names a
+    column for the group size.
     """
     g, unit = columns(g), columns(unit)
+    ties = _tie_break(df, g + unit)
     key = order_key(rng, seed, *map(quoted, g + unit))
     keyed = df.selectExpr("*", f"{null_safe(*g)} AS _key", f"{key} AS _hash").selectExpr(
         "*", f"{slice_of(rng, '_hash', shuffle_partitions(df.sparkSession))} AS _bucket"
     )
-    placed = _accumulate(keyed, f"_hash, {_ascending_sql(unit)}", "1", "_start", total or "_total")
+    placed = _accumulate(keyed, ", ".join(["_hash", _ascending_sql(unit), *ties]), "1", "_start", total or "_total")
     return placed.selectExpr(
         *map(quoted, df.columns), f"_start + 1 AS {quoted(name)}", *([quoted(total)] if total else [])
     )
@@ -163,6 +165,19 @@ def _last_value(c: str, order: Sequence[str]) -> Column:
     return F.max_by(c, F.struct(*[x for o in order for x in (F.col(o).isNull(), F.col(o))]))
 
 
+def _lag_over_ranges(df: DataFrame, c: str, order: Sequence[str], name: str) -> DataFrame:
+    keys = _ascending(order) + [F.expr(t) for t in _tie_break(df, order)]
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    placed = settle(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_id", ROW_BITS))
+    inside = placed.withColumn("_before", F.lag(F.struct(F.col(c).alias("v"))).over(W.partitionBy("_part").orderBy("_id")))
+    # One row per partition of the sort.
+    ends = placed.groupBy("_part").agg(F.max_by(F.struct(F.col(c).alias("v")), "_id").alias("_end"))
+    carried = ends.select("_part", F.lag("_end").over(W.orderBy("_part")).alias("_end"))
+    joined = inside.join(F.broadcast(carried), "_part")
+    return joined.select(*df.columns, F.coalesce("_before", "_end")["v"].alias(name))
+
+
 def global_lag(
     df: DataFrame,
     c: str,
@@ -172,14 +187,16 @@ def global_lag(
 ) -> DataFrame:
     """The value of ``c`` in the previous row of the whole table in ``order``.
 
-    ``part`` is a leading part of ``order`` (default: all but its last column) under
-    which few rows share a value; for resamples that is (group, size), which holds one
-    row per iteration. Each part gets a copy of the last row of the part before it,
-    sorted first and dropped again after the lag, so rows are shuffled once and no join
-    touches them.
+    Rows are cut into ranges of ``order``, whatever the keys in it, so a hot key is spread; the last value of each
+    range is carried to the next. ``part``, a leading part of ``order`` under which few rows share a value, saves the
+    stored copy: for resamples it is (group, size), which holds one row per iteration. Each part then gets a copy of
+    the last row of the part before it, sorted first and dropped again after the lag, so rows are shuffled once and no
+    join touches them.
     """
     order = list(order)
-    part = columns(part) or order[:-1]
+    part = columns(part)
+    if not part:
+        return _lag_over_ranges(df, c, order, name)
     rest = order[len(part) :]
     if order[: len(part)] != part or not rest:
         raise ValueError("part must be a proper prefix of order")

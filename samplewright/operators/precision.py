@@ -26,7 +26,7 @@ def width_change(
     The table is ordered by group, size and iteration, so the first iteration of a size
     is compared with the last one of the size before, across groups too.
     """
-    lagged = global_lag(df, w, [g, n, it], name="_previous")
+    lagged = global_lag(df, w, [g, n, it], [g, n], "_previous")
     return lagged.select(*df.columns, F.abs(F.col(w) - F.col("_previous")).alias(name))
 
 

@@ -7,9 +7,10 @@ import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from samplewright.operators.ordering import columns, group_row_number, row_index
+from samplewright.operators.ordering import columns, row_index
 
 
 def clean_name(name: str) -> str:
@@ -67,14 +68,16 @@ def filter_recycled(df: DataFrame, c: str, pattern: Sequence[int], order_by: str
 
 
 def exclude_groups(df: DataFrame, g: str, names: Sequence[object] | DataFrame) -> DataFrame:
-    """Drop the named groups; rows without a group stay.
+    """Drop the named groups; rows without a group stay unless NULL is named.
 
     A long deny-list is passed as a one-column table and becomes an anti join.
     """
     if isinstance(names, DataFrame):
         denied = names.select(F.col(names.columns[0]).alias("_denied"))
         return df.join(denied, F.col(g).eqNullSafe(F.col("_denied")), "left_anti")
-    return df.filter(F.coalesce(~F.col(g).isin(*names), F.lit(True)))
+    known = [x for x in names if x is not None]
+    denied = F.coalesce(F.col(g).isin(*known), F.lit(False)) if known else F.lit(False)
+    return df.filter(~denied & F.col(g).isNotNull()) if len(known) < len(names) else df.filter(~denied)
 
 
 def levels(df: DataFrame, *cols: str) -> DataFrame:
@@ -142,9 +145,17 @@ def add_table_stats(df: DataFrame, **aggregates: object) -> DataFrame:
 def kth_row_per_group(
     df: DataFrame, g: str | Sequence[str] | None, order: str | Sequence[str], k: int
 ) -> DataFrame:
-    """Row ``k`` (from 1) of each group, or of the table, in the given order."""
-    numbered = group_row_number(df, g, order, "_number")
-    return numbered.filter(F.col("_number") == k).select(*df.columns)
+    """Row ``k`` (from 1) of each group, or of the table, in the given order.
+
+    As only the first ``k`` rows of a group matter, every task drops the others before the shuffle: a limit of a
+    window on ``row_number``, or of a sort where there is no group. A hot group sends ``k`` rows per task.
+    """
+    order = [F.col(c).asc_nulls_last() for c in columns(order)]
+    if columns(g):
+        numbered = df.withColumn("_number", F.row_number().over(W.partitionBy(*columns(g)).orderBy(*order)))
+        return numbered.filter(F.col("_number") <= k).filter(F.col("_number") == k).select(*df.columns)
+    first = df.orderBy(*order).limit(k)
+    return first.withColumn("_number", F.row_number().over(W.orderBy(*order))).filter(F.col("_number") == k).select(*df.columns)
 
 
 def first_row_per_group(df: DataFrame, g: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:

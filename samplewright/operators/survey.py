@@ -73,21 +73,18 @@ def histogram(
 
     One bin is centred on ``center``; bins are open on the left and closed on the right,
     except that the lowest also holds its left edge. Values outside ``lo .. hi`` are
-    dropped, empty bins are kept. Only one row per group and bin is ever collected.
+    dropped, empty bins are kept, and so are groups without a value inside. Only one row per group and bin is ever
+    collected.
     """
     by = columns(by)
     edge = center - width / 2.0
     first = math.floor((lo - edge) / width) + 1
     last = max(first, math.ceil((hi - edge) / width))
     of = F.ceil((F.col(c) - F.lit(edge)) / F.lit(float(width))).cast("int")
-    counted = (
-        df.filter(F.col(c).between(lo, hi))
-        .groupBy(*by, F.greatest(of, F.lit(first)).alias("bin"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    filled = counted.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_counts")
-    )
+    inside = F.col(c).between(lo, hi)
+    counted = df.groupBy(*by, F.when(inside, F.greatest(of, F.lit(first))).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))  # NULLs are not collected
+    filled = counted.groupBy(*by).agg(F.map_from_entries(F.collect_list(entry)).alias("_counts"))
     dense = filled.select(*by, "_counts", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("bin"))
     upper = F.col("bin") * F.lit(float(width)) + F.lit(edge)
     return dense.select(

@@ -1,7 +1,7 @@
-"""The studies a user runs: each is a few operators in a row, and stays lazy.
+"""The studies a user runs: each is a few operators in a row.
 
-A study that reuses its resamples should be given a staged table
-(:func:`samplewright.sources.files.stage`), so that they are drawn once.
+Those that read their resamples or the change in width more than once store them first, in the folder shared by the
+session, so that they are drawn once. The other studies stay lazy.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from samplewright.operators.bootstrap import (
 )
 from samplewright.operators.ordering import shuffle_rank
 from samplewright.operators.reshape import clean_names, coerce_numeric, exclude_groups, wide_to_long
+from samplewright.sources.files import stage
 
 
 def clean_measurements(
@@ -81,8 +82,8 @@ def coverage_curve(boot_ci: DataFrame, g: str, level: float = 0.95, boundary: st
 
 
 def precision_tables(boot_ci: DataFrame, g: str, cap: float = 2.0) -> dict[str, DataFrame]:
-    """The width and change-in-width tables of a study."""
-    measured = precision.measure(boot_ci, g)
+    """The width and change-in-width tables of a study; the measured widths are stored once."""
+    measured = stage(precision.measure(boot_ci, g))
     width = precision.pooled_width_rel(boot_ci, g)
     change = precision.pooled_change(measured, g, with_sd=True)
     return {
@@ -109,13 +110,16 @@ def two_group_tables(
     iters: int = ITERS,
     seed: int = SEED,
     rng: str = "xxhash64",
+    store: bool = True,
 ) -> dict[str, DataFrame]:
     """Everything reported on two groups of which ``n_tested`` units each were measured.
 
-    ``unit`` is the ordinal of a unit in its group; units above ``n_tested`` are unused.
+    ``unit`` is the ordinal of a unit in its group; units above ``n_tested`` are unused. The
+    resamples are stored once unless ``store`` is False.
     """
     tested = comparison.study_subset(df, g, [group1, group2], n_tested, unit)
     boot = bootstrap_two(tested, g, group1, group2, v, unit, n_min, n_max, iters, seed, rng)
+    boot = stage(boot) if store else boot
     pair = [(group1, group2)]
     pooled = comparison.pooled_se(tested, g, v, pair)
     return {

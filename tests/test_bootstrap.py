@@ -60,7 +60,7 @@ def test_draws_do_not_depend_on_partitions_chunks_lanes_or_batches(spark, data,
         again = bootstrap.bootstrap_groups(data.repartition(6), "g", "v", "u", rng=rng, **GRID)
         assert keyed(again) == expected
         split = bootstrap.bootstrap_groups(data, "g", "v", "u", rng=rng, chunk_rows=4, **GRID)
-        assert_close(keyed(split), expected)
+        assert keyed(split) == expected  # to the last bit
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
@@ -203,3 +203,21 @@ def test_coverage_is_near_nominal_on_normal_data(spark):
     for r in means:
         values = [v for g, _, v in data if g == r.g]
         assert abs(r.m - statistics.fmean(values)) < 5 * statistics.stdev(values) / (30 * 199) ** 0.5 * 1.1
+
+
+def test_large_and_small_groups_agree_on_infinite_values_and_constants(spark):
+    inf = float("inf")
+    rows = [("x", u, inf if u == 3 else float(u)) for u in range(12)] + [("c", u, 0.1) for u in range(12)]
+    rows += [("n", u, None if u == 5 else 1.0 / (u + 1)) for u in range(12)]
+    df = spark.createDataFrame(rows, "g string, u int, v double")
+    small = keyed(bootstrap.bootstrap_groups(df, "g", "v", "u", n_min=3, n_max=20, iters=9))
+    large = keyed(bootstrap.bootstrap_groups(df, "g", "v", "u", n_min=3, n_max=20, iters=9, chunk_rows=2))
+    assert {k: str(v) for k, v in small.items()} == {k: str(v) for k, v in large.items()}
+    assert {v for k, v in small.items() if k[0] == "c"} == {(0.1, 0.0)}
+    means = [v[0] for k, v in small.items() if k[0] == "x"]
+    assert inf in means and not any(m != m for m in means)
+
+
+def test_an_absent_group_is_an_error(data):
+    with pytest.raises(Exception, match="has no rows"):
+        bootstrap.bootstrap_two(data, "g", "a", "nobody", "v", "u", **GRID).collect()

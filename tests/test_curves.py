@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from samplewright.operators import comparison, coverage, precision
 from samplewright.plans import studies
@@ -86,7 +87,12 @@ def test_welch_by_hand(spark):
 
 def test_welch_needs_two_groups_and_two_values(spark):
     df = two(spark)
-    assert comparison.welch_test(df.filter("g = 'x'"), "g", "v").count() == 0
+    for wrong in (df.filter("g = 'x'"), df.union(df.limit(1).select(F.lit("z"), F.lit(9), F.lit(1.0)))):
+        for test in (comparison.welch_test, comparison.pooled_se):
+            with pytest.raises(Exception, match="exactly two groups"):
+                test(wrong, "g", "v").collect()
+    with pytest.raises(Exception, match="no rows in"):
+        comparison.welch_test(df, "g", "v", [("x", "nobody")]).collect()
     single = df.filter("g = 'x' or u = 1")
     r = comparison.welch_test(single, "g", "v").collect()[0]
     assert r.t is None and r.p_value is None and r.lower_ci is None
@@ -130,3 +136,20 @@ def test_two_group_tables(spark):
     assert tables["design"].count() == 1 and tables["welch"].count() == 1
     assert [tuple(r) for r in tables["counts"].orderBy("g").collect()] == [("x", 4), ("y", 4)]
     assert tables["summary"].count() == 2
+
+
+def test_a_null_group_is_compared_with_the_other(spark):
+    df = spark.createDataFrame([("x", 1.0), ("x", 2.0), ("x", 4.0), (None, 5.0), (None, 9.0)], "g string, v double")
+    named = df.fillna("y", ["g"])
+    for pairs in (None, [("x", None)]):
+        got = comparison.welch_test(df, "g", "v", pairs).collect()[0]
+        want = comparison.welch_test(named, "g", "v").collect()[0]
+        assert (got.group1, got.group2) == ("x", None) and tuple(got)[2:] == tuple(want)[2:]
+
+
+def test_the_sign_of_an_effect_does_not_matter(spark):
+    df = spark.createDataFrame([(1.0,)], "se_diff double")
+    up, down = comparison.design_analysis(df, [1.2, -1.2]).collect()
+    assert tuple(up)[2:] == tuple(down)[2:] and down.possible_effect == -1.2
+    with pytest.raises(ValueError):
+        comparison.design_analysis(df, [0.0])

@@ -132,3 +132,20 @@ def test_identical_rows_are_numbered_once_each(spark):
     got = sorted((r.g, r.i) for r in ordering.group_row_number(df, "g", "o", "i").collect())
     assert got == [("a", i) for i in range(1, 51)] + [("b", i) for i in range(1, 4)]
     assert sorted(r.i for r in ordering.row_index(df, "o", "i").collect()) == list(range(53))
+
+
+def test_lag_with_a_hot_key_spreads_over_tasks(spark):
+    rows = [("hot" if u % 10 else f"k{u}", u, float(u)) for u in range(400)]
+    df = spark.createDataFrame(rows, "g string, u int, v double").repartition(5)
+    got = sorted((r.g, r.u, r.lagged) for r in ordering.global_lag(df, "v", ["g", "u"]).collect())
+    want = sorted((g, u, v) for g, u, v in rows)
+    assert [x[2] for x in got] == [None, *[x[2] for x in want][:-1]]
+
+
+def test_rows_that_share_a_unit_keep_their_places(spark):
+    rows = [("g", u % 3, i) for i, u in enumerate(range(300))]
+    df = spark.createDataFrame(rows, "g string, u int, x int")
+    ranks = [
+        {r.x: r.ordinal for r in ordering.shuffle_rank(d, "g", "u").collect()} for d in (df, df.repartition(7), df.orderBy("x"))
+    ]
+    assert ranks[0] == ranks[1] == ranks[2] and sorted(ranks[0].values()) == list(range(1, 301))

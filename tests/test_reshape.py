@@ -20,7 +20,7 @@ def wide(spark, reps, groups=3):
 def test_decimal_comma(spark, tmp_path):
     path = tmp_path / "wide_bad.csv"
     path.write_text(WIDE_BAD)
-    got = files.read_csv_decimal_comma(spark, str(path), "rep int, a double, b double")
+    got = files.read_csv_decimal_comma(spark, str(path), "rep int, `A b` double, `C d` double")
     assert [tuple(r) for r in got.collect()] == [
         (1, 1.5, 2.25), (2, None, None), (3, 1000.5, 3.0), (4, None, -0.125)
     ]
@@ -184,3 +184,10 @@ def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
         shared_dir(fake)
     fake.sparkContext.getCheckpointDir = context.getCheckpointDir
     assert shared_dir(fake).startswith(context.getCheckpointDir())
+
+
+def test_null_is_excluded_where_it_is_named(spark):
+    df = spark.createDataFrame([(1,), (7,), (None,)], "g int")
+    left = lambda names: sorted((r.g for r in reshape.exclude_groups(df, "g", names).collect()), key=str)
+    assert left([7]) == [1, None] and left([None, 7]) == [1] and left([None]) == [1, 7] and left([]) == [1, 7, None]
+    assert left(spark.createDataFrame([(None,), (7,)], "x int")) == [1]

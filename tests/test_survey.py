@@ -57,3 +57,9 @@ def test_survey_tables(lit):
     assert tables["lower"]["known"].collect()[0].n_known == 4
     assert tables["lower"]["distribution"].collect()[0].nn == 4
     assert tables["upper"]["shares"].count() == 2 and tables["lower"]["histogram"].count() == 15
+
+
+def test_a_group_without_values_inside_keeps_its_empty_bins(spark):
+    df = spark.createDataFrame([("a", 5), ("b", 500), ("c", None)], "g string, n int")
+    got = survey.histogram(df, "n", by="g").groupBy("g").agg({"frequency": "sum", "bin": "count"}).collect()
+    assert {r.g: (r["sum(frequency)"], r["count(bin)"]) for r in got} == {"a": (1, 15), "b": (0, 15), "c": (0, 15)}
