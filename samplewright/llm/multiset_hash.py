@@ -14,6 +14,8 @@ Column expressions only; a row needs no other row.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -116,40 +118,38 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint")
     return hashed.select(*docs.columns, vector(F.col("_hashes")).alias(name))
 
 
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds lie below the key: first among every so many of them, then among those between."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    whole = F.array(*[F.lit(g[-1]).cast("long") for g in groups])
+    inner = F.array(*[F.array(*[F.lit(b).cast("long") for b in g]) for g in groups])
+    k = F.size(F.filter(whole, lambda b: b < key))
+    return k * step + F.size(F.filter(F.coalesce(F.get(inner, k), F.array().cast("array<bigint>")), lambda b: b < key))
+
+
 def with_next(keyed: DataFrame, carry: list[str]) -> DataFrame:
     """``keyed`` (unique ``_doc``) with ``next_*`` of the row with the next smaller key; the smallest gets the largest's.
 
     Rows are cut into ranges of the key at approximate quantiles, so the texts are shuffled once and no task gets more
-    than its range. The first row of every range is carried over to the range before; these are as many rows as there
-    are ranges, found by their keys.
+    than its range. The first row of every range goes along to the range before as well, behind that range's own rows.
+    The driver sees the bounds and the largest key of each range, four times as many as there are shuffle partitions.
     """
-    ranges = 4 * shuffle_partitions(keyed.sparkSession)
+    spark = keyed.sparkSession
+    ranges = 4 * shuffle_partitions(spark)
     at = [i / ranges for i in range(1, ranges)]
-    bounds = keyed.agg(F.percentile_approx(KEY, at, 10_000)).first()[0]
-    bounds = sorted(set(bounds or []))
-    part = F.lit(len(bounds)).cast("int")
-    if bounds:
-        sorted_bounds = F.array(*[F.lit(b).cast("long") for b in bounds])
-        # Number of bounds below the key, by the place it would take.
-        part = F.size(F.filter(sorted_bounds, lambda b: b < F.col(KEY)))
-    cut = keyed.withColumn("_range", part)
-    heads = sorted((r[0], r[1]) for r in cut.groupBy("_range").agg(F.max(KEY)).collect())  # a row per range
-    before = {head: heads[(i + 1) % len(heads)][0] for i, (_, head) in enumerate(heads)}
-    lead = W.partitionBy("_range").orderBy(F.col(KEY).desc())
-    moved = F.struct(*carry)
-    inside = cut.withColumn("_next", F.lead(moved).over(lead))
-    if not before:
-        return inside.select(*keyed.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carry])
-    # The row after the last of a range is the first of the range below it.
-    to = F.element_at(F.create_map(*[x for k, v in before.items() for x in (F.lit(k).cast("long"), F.lit(v))]), F.col(KEY))
-    first = keyed.filter(F.col(KEY).isin(list(before))).select(to.alias("_range"), moved.alias("_first"))
-    ends = cut.groupBy("_range").agg(F.min(KEY).alias(KEY))
-    carried = first.join(ends, "_range").select(KEY, "_first")
-    joined = inside.join(F.broadcast(carried), KEY, "left")
-    chosen = F.coalesce("_next", "_first")
-    return joined.select(*keyed.columns, chosen.alias("_chosen")).select(
-        *keyed.columns, *[F.col(f"_chosen.{c}").alias(f"next_{c}") for c in carry]
-    )
+    bounds = sorted(set(keyed.agg(F.percentile_approx(KEY, at, 10_000)).first()[0] or []))
+    cut = keyed.withColumn("_range", _place(F.col(KEY), bounds))
+    heads = sorted((r[0], r[1]) for r in cut.groupBy("_range").agg(F.max(KEY)).collect())
+    before = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]
+    to = spark.createDataFrame(before, f"{KEY} long, _range int")
+    also = keyed.join(F.broadcast(to), KEY).withColumn("_also", F.lit(True))
+    both = cut.withColumn("_also", F.lit(False)).unionByName(also)
+    lead = F.lead(F.struct(*carry)).over(W.partitionBy("_range").orderBy("_also", F.col(KEY).desc()))
+    own = both.withColumn("_next", lead).filter(~F.col("_also"))
+    return own.select(*keyed.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carry])
 
 
 def edited(text: Column, following: Column) -> Column:
