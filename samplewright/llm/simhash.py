@@ -153,11 +153,15 @@ def _mask(depth: int) -> int:
 
 
 def subtrees(fps: DataFrame, subtree: int) -> tuple[DataFrame, int]:
-    """(fp, depth, node) for every distinct fingerprint, and the depth where the subtrees start."""
+    """(fp, depth, node) for every distinct fingerprint, and the depth where the subtrees start.
+
+    The depth goes up in steps of four bits; a fingerprint is sent to the subtrees whose prefixes are near its own, 11 at
+    four bits and 37 at eight.
+    """
     n = fps.count()
     start = 0
-    while n > (subtree // 2) << start and start < 60:
-        start += 2
+    while n > (subtree // 16 if start == 0 else (subtree // 2) << start) and start < 60:
+        start += STEP
     cut = fps.select("fp", F.lit(start).alias("depth"), F.col("fp").bitwiseAND(F.lit(_mask(start))).alias("node"))
     depth = start
     while depth < 64:

@@ -116,8 +116,8 @@ def fit(
     doc_id: str = "doc_id",
     text: str = "text",
     label: str = "toxic",
-    max_rows: int = 12_000,
-    updates: int = 50_000,
+    max_rows: int = 8_000,
+    updates: int = 40_000,
     alpha: float = 1.0,
     beta: float = 1.0,
     l1: float = 5.0,
