@@ -49,9 +49,12 @@ def _line_table(keyed: DataFrame, text: str) -> DataFrame:
 
 
 def _named(rows: DataFrame, *key: str) -> DataFrame:
-    """``rows`` whose key occurs at least twice, with the first position of the key as ``rank``."""
+    """``rows`` whose key occurs at least twice, with the first position of the key as ``rank``.
+
+    The groups are stored, so that the join has plain shuffles on both sides and a hot key is split when it runs.
+    """
     groups = rows.groupBy(*key).agg(F.min("pos").alias("rank"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return rows.join(groups, list(key))
+    return rows.join(settle(groups), list(key))
 
 
 def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
@@ -81,7 +84,7 @@ def earlier_runs(levels: list[DataFrame]) -> DataFrame:
             ahead = blocks.select(F.col("pos").alias("to"), F.col("rank").alias("next"), F.col("words").alias("more"))
             tried = state.withColumn("to", F.col("pos") + F.col("length")).join(ahead, "to", "left").drop("to")
             tried = settle(tried)
-            inner = (
+            inner = settle(
                 tried.filter("next IS NOT NULL")
                 .groupBy("length", "rank", "next")
                 .agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
