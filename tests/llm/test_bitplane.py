@@ -38,7 +38,7 @@ def test_shards_round_trip_and_read_ranges(bits):
         bitplane.Shard(data[:-1] + b"x")
 
 
-@given(st.lists(st.sampled_from(["Word", " ", "\n", "  ", "don't", "é", "é", "́", "\x1c", "\xa0", "12", "?!", "<|endoftext|>", "İ", "\t", "ΑΣ", "東京"]), max_size=14))
+@given(st.lists(st.sampled_from(["Word", " ", "\n", "  ", "don't", "é", "é", "́", "\x1c", "\xa0", "12", "?!", "<|endoftext|>", "<|ENDOFTEXT|>", "a.", "B,", "..", "équeux", "straße", "ÿ", "÷", "Ñandú", "İ", "\t", "ΑΣ", "東京"]), max_size=14))
 @settings(max_examples=150, deadline=None)
 def test_words_alone_give_the_ids_of_the_whole_text(pieces):
     text = "".join(pieces)
@@ -47,6 +47,7 @@ def test_words_alone_give_the_ids_of_the_whole_text(pieces):
 
 
 TOKENIZER = bitplane.Tokenizer(PATH, 1)
+assert TOKENIZER.direct
 
 
 def expected(rows):
