@@ -6,8 +6,12 @@ wide as the largest item of the class; the minimum of a window under a permutati
 its halves, so one pass over the shingles serves all classes. A window with a minimum in common with an item
 names a candidate, which is verified by counting the item's shingles in the whole document.
 
-An item of q shingles, 80 % of them in a document, has a resemblance of at least 0.36 with the window it lies in,
-and where it is scattered over several windows the chances add up: with 32 permutations one in a million is missed.
+Items of at most ``LEAST`` shingles resemble no window enough; they are exact: in the same pass every shingle of a
+document is looked up among theirs, and one in common names a candidate.
+
+Of longer items, a whole copy has a resemblance of at least 0.2 with each of the two windows it lies in, so with 32
+permutations less than one in a million is missed. Of an item with 80 % of its shingles in a document, up to 2 in
+100,000 are missed if these lie in two windows, and up to 2 in 10,000 if each lies in a window of its own.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 WORD = re.compile(r"[^\W_]+")
 SHINGLE = 5
 PERMUTATIONS = 32
-LEAST = 8  # width of the smallest windows
+LEAST = 8  # width of the smallest windows; items of no more shingles are looked up exactly
 CHUNK = 1 << 18  # shingles permuted at a time
 FILTER_BITS = 18
 MEMO = 200_000
@@ -66,6 +70,8 @@ class Index:
     shingles: list[frozenset[tuple[str, ...]]]
     minima: dict[int, list[dict[int, list[int]]]]  # class width -> permutation -> minimum -> entries
     filters: dict[int, np.ndarray]
+    short: dict[int, list[int]]  # shingle hash -> entries of at most LEAST shingles
+    short_filter: np.ndarray
 
     @staticmethod
     def of(items: list[tuple[int, str | None]]) -> Index:
@@ -75,10 +81,17 @@ class Index:
         memo, ids, sets = _Memo(), [], []
         minima: dict[int, list[dict[int, list[int]]]] = {}
         filters: dict[int, np.ndarray] = {}
+        short: dict[int, list[int]] = defaultdict(list)
         for tokens, same in by_words.items():
             if len(tokens) < SHINGLE:
                 continue
             own = frozenset(zip(*[tokens[j:] for j in range(SHINGLE)], strict=False))
+            if len(own) <= LEAST:
+                for x in np.unique(_shingle_hashes(list(tokens), memo)).tolist():
+                    short[x].append(len(ids))
+                ids.append(sorted(same))
+                sets.append(own)
+                continue
             width = LEAST
             while width < len(own):
                 width *= 2
@@ -92,16 +105,27 @@ class Index:
                 filters[width][i, low >> (64 - FILTER_BITS)] = True
             ids.append(sorted(same))
             sets.append(own)
-        return Index(ids, sets, minima, filters)
+        short_filter = np.zeros(1 << FILTER_BITS, bool)
+        short_filter[[x >> (64 - FILTER_BITS) for x in short]] = True
+        return Index(ids, sets, minima, filters, short, short_filter)
 
     def candidates(self, docs: list[np.ndarray]) -> dict[int, set[int]]:
-        """Entries that share a minimum with a window of a document, by the document's place in the list."""
+        """Entries that share a minimum with a window of a document, or are short and share a shingle, by the document's
+        place in the list."""
         found: dict[int, set[int]] = defaultdict(set)
         full = [i for i, d in enumerate(docs) if len(d)]
-        if not full or not self.minima:
+        if not full:
             return found
         hashes = np.concatenate([docs[i] for i in full])
         lengths = np.array([len(docs[i]) for i in full])
+        if self.short:
+            maybe = np.flatnonzero(self.short_filter[hashes >> np.uint64(64 - FILTER_BITS)])
+            of = np.searchsorted(np.cumsum(lengths), maybe, side="right")
+            for x, k in zip(hashes[maybe].tolist(), of.tolist(), strict=True):
+                if x in self.short:
+                    found[full[k]].update(self.short[x])
+        if not self.minima:
+            return found
         tiles = -(-lengths // LEAST)
         begin = np.repeat(np.cumsum(lengths) - lengths, tiles)
         within = np.arange(tiles.sum()) - np.repeat(np.cumsum(tiles) - tiles, tiles)
