@@ -153,8 +153,8 @@ def fit(
 ) -> Network | None:
     """Learn from at most ``max_docs`` documents outside the held-out fold and as many windows of each.
 
-    The documents are those whose ids hash lowest; their windows lie evenly over the text. One task gets them
-    and returns the weights. Rows with a NULL id or language and texts without a letter are passed over; None if
+    The documents are those whose ids hash lowest; their windows lie evenly over the text. They are picked in
+    parallel and shuffled to one task, which returns the weights. Rows with a NULL id or language and texts without a letter are passed over; None if
     nothing is left.
     """
     known = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"), F.col(lang).alias("_lang"))
@@ -179,7 +179,7 @@ def fit(
         flat = np.concatenate([p.ravel() for p in (*net.tables, net.bias, net.dense, net.offset)])
         yield pd.DataFrame({"langs": [langs], "flat": [flat.astype(float)]})
 
-    got = rows.coalesce(1).mapInPandas(learn, "langs array<string>, flat array<double>").collect()
+    got = rows.repartition(1).mapInPandas(learn, "langs array<string>, flat array<double>").collect()
     if not got:
         return None
     langs, flat = list(got[0].langs), np.array(got[0].flat, np.float32)

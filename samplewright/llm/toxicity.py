@@ -126,7 +126,7 @@ def fit(
     """Learn from at most ``max_rows`` labelled documents outside the held-out fold, in about ``updates`` updates.
 
     The rows are those whose ids hash lowest, so any further row changes the sample little. Only their ids are
-    broadcast; one task gets their texts and returns the weights. A document with several labels is positive
+    broadcast; their texts are picked in parallel and shuffled to one task, which returns the weights. A document with several labels is positive
     if one of them is; NULL labels and ids are passed over. Without labelled rows there is nothing to go by, and
     every score is close to 0.
     """
@@ -149,7 +149,7 @@ def fit(
         model = ftrl([seen[i] for i in by], np.array(ys, float)[by], epochs, alpha, beta, l1, l2)
         yield pd.DataFrame({"at": [model.at], "weight": [model.weight], "bias": [model.bias]})
 
-    got = rows.coalesce(1).mapInPandas(learn, "at array<int>, weight array<double>, bias double").collect()
+    got = rows.repartition(1).mapInPandas(learn, "at array<int>, weight array<double>, bias double").collect()
     return Model(*got[0]) if got else Model([], [], UNTAUGHT)
 
 

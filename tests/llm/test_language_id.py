@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from samplewright.llm import language_id, queries
 
@@ -95,3 +96,14 @@ def test_query_accuracy_on_the_held_out_fold(spark):
 
 def test_query_on_the_smallest_table(spark):
     assert queries.op5_language_id(spark, SF_DIR).count() == 200
+
+
+def test_texts_are_read_in_parallel_before_the_learner(spark):
+    """The task that reads a row writes its language: one task for the whole table would write one language only."""
+    from pyspark import TaskContext
+
+    task = F.udf(lambda: TaskContext.get().partitionId(), "int").asNondeterministic()
+    docs = spark.range(0, 60, 1, 6).select(
+        F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.concat(F.lit("l"), task()).alias("lang")
+    )
+    assert len(language_id.fit(docs).langs) > 1

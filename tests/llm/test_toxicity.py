@@ -103,3 +103,15 @@ def test_query_scores_every_document_and_learns_nothing_of_the_held_out(spark, d
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     a, b = (toxicity.fit(frame, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, turned))
     assert a == b
+
+
+def test_texts_are_read_in_parallel_before_the_learner(spark):
+    """The task that reads a row writes its text: one task for the whole table would write one text only."""
+    from pyspark import TaskContext
+
+    task = F.udf(lambda: TaskContext.get().partitionId(), "int").asNondeterministic()
+    docs = spark.range(0, 600, 1, 6).select(F.col("id").alias("doc_id"), F.when(task() < 3, "first").otherwise("second").alias("text"))
+    labels = spark.range(600).select(F.col("id").alias("doc_id"), (F.col("id") >= 300).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    scorer = model.scorer()
+    assert scorer("second") > 0.9 and scorer("first") < 0.1
