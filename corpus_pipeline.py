@@ -10,11 +10,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from samplewright.llm import decontamination, line_dedup, packing, resemblance, toxicity
+from samplewright.llm import decontamination, line_dedup, packing, simhash, toxicity
 from samplewright.llm.common import KEY, identified, table
 from samplewright.session import settle
 
 TOXIC = 0.3
+BITS = 2
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +39,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of five-word shingles stays: the one with the smallest id,
-    of repeated ids one row."""
+    """One document of each group linked by SimHash fingerprints of three-word shingles at two or fewer differing bits
+    stays: the one with the smallest id, of repeated ids one row."""
     keyed = identified(docs)
-    groups = resemblance.near_duplicates(keyed.select(KEY, "row.text"), doc_id=KEY)
+    groups = simhash.near_duplicates(keyed.select(KEY, "row.text"), doc_id=KEY, bits=BITS)
     first = groups.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(KEY))
     return keyed.join(first, KEY, "left_semi").select("row.*")
 
