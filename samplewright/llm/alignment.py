@@ -13,12 +13,15 @@ broadcast but one row per id of the second side.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +30,12 @@ from samplewright.session import settle
 
 CHUNK_CHARS = 1 << 21  # characters of text in a chunk, or one document
 WORD = 32  # bits of the second id in a pair
+REMEMBERED = 1 << 19  # pre-tokens a worker keeps the ids of
+
+# How a byte-level tokenizer cuts a text before it merges, and letters on which all engines of such patterns
+# agree.
+CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u024f]*")
 
 
 def byte_letters() -> dict[str, int]:
@@ -46,11 +55,13 @@ class Side:
         # Decimal ids as they stand inside a group, and at its end.
         self.words = [f"{i}{end}".encode() for i in range(len(self.pieces)) for end in self.ends]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         raise NotImplementedError
 
 
 class ByteLevel(Side):
+    """Ids of a cut of the text do not depend on its neighbours, so those of frequent cuts are remembered."""
+
     ends = (",", "|")
 
     def __init__(self, path: str) -> None:
@@ -61,9 +72,37 @@ class ByteLevel(Side):
         letters = byte_letters()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         super().__init__([bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names])
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        rules = json.loads(self.tokenizer.to_str())
+        before = rules["pre_tokenizer"] or {}
+        self.cuts = (
+            rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+            and not before.get("add_prefix_space")
+        )
+        self.memo: dict[str, bytes] = {}
+
+    def _ask(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        out: list[bytes] = [b""] * len(texts)
+        other = []
+        for i, t in enumerate(texts):
+            if not self.cuts or not PLAIN.fullmatch(t):
+                other.append(i)
+                continue
+            cuts = CUT.findall(" " + t)
+            try:
+                out[i] = b"".join(map(self.memo.__getitem__, cuts))
+            except KeyError:
+                if len(self.memo) > REMEMBERED:
+                    self.memo.clear()
+                new = [c for c in set(cuts) if c not in self.memo]
+                self.memo.update(zip(new, self._ask(new), strict=True))
+                out[i] = b"".join(map(self.memo.__getitem__, cuts))
+        for i in other:
+            out[i] = self._ask([" " + texts[i]])[0]
+        return [np.frombuffer(x, "<u4").astype(np.int64) for x in out]
 
 
 class Pieces(Side):
@@ -80,8 +119,8 @@ class Pieces(Side):
 
         super().__init__([piece(i) for i in range(self.model.get_piece_size())])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
 
 
 @lru_cache(maxsize=1)
@@ -109,9 +148,16 @@ class Aligned:
     group_b: np.ndarray
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in lists], np.int64)
-    return np.fromiter((i for x in lists for i in x), np.int64, int(sizes.sum())), sizes
+    return np.concatenate([np.zeros(0, np.int64), *lists]), sizes
+
+
+def _among(values: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Which of the sorted values are among the others, sorted too."""
+    if not len(others):
+        return np.zeros(len(values), bool)
+    return others[np.minimum(np.searchsorted(others, values), len(others) - 1)] == values
 
 
 def _covering(starts: np.ndarray, doc: np.ndarray, by: np.ndarray, by_doc: np.ndarray) -> np.ndarray:
@@ -127,9 +173,9 @@ def align_texts(texts: list[str | None], a_side: Side, b_side: Side) -> Aligned:
     a_ids, b_ids = a_side.encode(texts), b_side.encode(texts)
     for i, t in enumerate(texts):
         whole = b" " + t.encode("utf-8", "surrogatepass")
-        same = t and all(b"".join(map(s.pieces.__getitem__, x)) == whole for s, x in ((a_side, a_ids[i]), (b_side, b_ids[i])))
+        same = t and all(b"".join(map(s.pieces.__getitem__, x.tolist())) == whole for s, x in ((a_side, a_ids[i]), (b_side, b_ids[i])))
         if not same:
-            a_ids[i], b_ids[i] = [], []
+            a_ids[i] = b_ids[i] = np.zeros(0, np.int64)
     (a, n_a), (b, n_b) = _flat(a_ids), _flat(b_ids)
     docs = np.arange(len(texts))
     doc_a, doc_b = np.repeat(docs, n_a), np.repeat(docs, n_b)
@@ -144,7 +190,7 @@ def align_texts(texts: list[str | None], a_side: Side, b_side: Side) -> Aligned:
     order = np.lexsort((link_b, link_a))
     link_a, link_b = link_a[order], link_b[order]
     n_links = np.bincount(doc_a[link_a], minlength=len(texts)) if len(a) else np.zeros(len(texts), np.int64)
-    both = np.isin(end_a, end_b, kind="sort"), np.isin(end_b, end_a, kind="sort")
+    both = _among(end_a, end_b), _among(end_b, end_a)
     group_a, group_b = (np.cumsum(x) - x for x in both)
     n_groups = np.bincount(doc_a[both[0]], minlength=len(texts)) if len(a) else np.zeros(len(texts), np.int64)
     return Aligned(a, b, n_a, n_b, link_a, link_b, n_links, n_groups, group_a, group_b)
@@ -226,7 +272,9 @@ def pair_counts(chunks: DataFrame) -> DataFrame:
     counts = settle(listed.groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("n")))
     second = F.col("pair").bitwiseAND(F.lit((1 << WORD) - 1))
     most = counts.groupBy(second.alias("_b")).agg(F.max("n").alias("_most"))  # a row per id of the second side
-    return counts.join(F.broadcast(most), second == F.col("_b")).select("pair", "n", (F.col("n") == F.col("_most")).alias("best"))
+    marked = counts.join(F.broadcast(most), second == F.col("_b"))
+    # Stored, so that its measured size decides how it is joined.
+    return settle(marked.select("pair", "n", (F.col("n") == F.col("_most")).alias("best")))
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
