@@ -16,6 +16,7 @@ from samplewright.llm import (
     line_dedup,
     multiset_hash,
     packing,
+    periodic_runs,
     simhash,
     tool_calls,
     toxicity,
@@ -79,6 +80,40 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), of which those with a crc32 divisible by ten repeat a stretch of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = docs.filter(h % 10 == 0).select(
+        "doc_id", "text", F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)").alias("w"), F.floor(h / 10).alias("g")
+    )
+    cut = words.withColumn("n", F.size("w").cast("long")).filter("n > 0").withColumn("a", F.expr("g % n"))
+    cut = cut.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    at = "transform(sequence(0L, n - 1), i -> get(w, cast(if(i < a, i, a + (i - a) % p) AS INT)))"
+    changed = cut.select("doc_id", F.expr(f"array_join({at}, ' ')").alias("text"))
+    # The rest stays: ids of another remainder or NULL, and texts without words.
+    wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return docs.filter(F.coalesce(h % 10 != 0, F.lit(True)) | wordless).select("doc_id", "text").unionByName(changed)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every whole document, a tenth of which are made periodic first."""
+    found = periodic_runs.find_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.expr("try_element_at(array_sort(runs, (x, y) -> CASE WHEN x.length != y.length THEN sign(y.length - x.length) "
+                  "WHEN x.start != y.start THEN sign(x.start - y.start) ELSE sign(x.period - y.period) END::int), 1)")
+    lines = F.expr("array_join(transform(runs, x -> concat(x.start, ',', x.length, ',', x.period, '\n')), '')")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids against word pieces, every whole document."""
     import public_tokenizers
@@ -106,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bitplane_ids,
         op9_fingerprints,
         op10_licenses,
+        op11_periodic_runs,
         op12_alignment,
         pipeline,
     )
