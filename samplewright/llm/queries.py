@@ -11,6 +11,7 @@ from samplewright.llm import (
     alignment,
     bitplane,
     decontamination,
+    html_text,
     language_id,
     licenses,
     line_dedup,
@@ -122,6 +123,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -143,6 +149,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_licenses,
         op11_periodic_runs,
         op12_alignment,
+        op13_html_text,
         pipeline,
     )
 }
