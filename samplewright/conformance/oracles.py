@@ -15,11 +15,10 @@ from samplewright.conformance.queries import (
     CAP,
     EFFECTS,
     EXCLUDED,
-    MEDIUM,
+    GRID,
     PAIR,
     PAIRS,
     SEGMENTS,
-    SMALL,
     THRESHOLDS,
 )
 
@@ -44,20 +43,20 @@ def _t975(df: int) -> float:
     return math.sqrt(df) * math.tan(low)
 
 
-# The same in SQL for any degrees of freedom: 45 halvings of the angle, 240 intervals of Simpson's rule. lgamma of halves
-# keeps the constant finite.
+# The same in SQL for any degrees of freedom: Newton's steps from the left of the root, where the integral is concave, and
+# Boole's rule over 240 intervals. lgamma of halves keeps the constant finite.
 def _t_quantiles(source: str, df: str) -> str:
     """CTEs that end in ``quantiles(df, q)`` for the distinct values of ``df`` in ``source``."""
-    mid, steps = "(low + high) / 2", 240
-    terms = f"[(CASE WHEN x IN (0, {steps}) THEN 1 WHEN x % 2 = 1 THEN 4 ELSE 2 END) * pow(cos({mid} * x / {steps}), df - 1) FOR x IN range(0, {steps} + 1)]"
-    area = f"constant * {mid} / {steps} / 3 * list_sum({terms})"
-    return f"""halving AS (
+    steps = 240
+    weight = f"CASE WHEN x IN (0, {steps}) THEN 7 WHEN x % 4 = 0 THEN 14 WHEN x % 2 = 0 THEN 12 ELSE 32 END"
+    terms = f"[({weight}) * pow(cos(u * x / {steps}), df - 1) FOR x IN range(0, {steps} + 1)]"
+    area = f"constant * u / {steps} * 2 / 45 * list_sum({terms})"
+    return f"""newton AS (
   SELECT DISTINCT {df} AS df, exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()) AS constant,
-         0.0::DOUBLE AS low, pi() / 2 AS high, 0 AS k FROM {source} WHERE {df} IS NOT NULL
+         atan(1.959963 / sqrt({df})) AS u, 0 AS k FROM {source} WHERE {df} IS NOT NULL
   UNION ALL
-  SELECT df, constant, CASE WHEN {area} < 0.475 THEN {mid} ELSE low END, CASE WHEN {area} < 0.475 THEN high ELSE {mid} END, k + 1
-  FROM halving WHERE k < 45),
-quantiles AS (SELECT df, sqrt(df) * tan(low) AS q FROM halving WHERE k = 45)"""
+  SELECT df, constant, u + (0.475 - {area}) / (constant * pow(cos(u), df - 1)), k + 1 FROM newton WHERE k < 9),
+quantiles AS (SELECT df, sqrt(df) * tan(u) AS q FROM newton WHERE k = 9)"""
 
 
 def _values(rows: list[tuple]) -> str:
@@ -193,31 +192,37 @@ long AS (
 )
 
 
-def _two(grid: dict, v: str = ROOT, source: str = "customer", unit: str = "c_custkey") -> str:
-    where = f"(SELECT * FROM {source} WHERE c_mktsegment IN {PAIR})"
+def _two(
+    grid: dict, v: str = ROOT, source: str = "customer", unit: str = "c_custkey", pairs: list[tuple] | None = None
+) -> str:
+    """CTEs that end in ``boot2``: resamples of each listed pair, or of the one pair."""
+    pairs = pairs or [PAIR]
+    listed = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    names = tuple(sorted({x for p in pairs for x in p}))
+    where = f"(SELECT * FROM {source} WHERE c_mktsegment IN {names})"
     df = "pow((v1+v2)/n, 2) / ((pow(v1/n, 2) + pow(v2/n, 2)) / (n-1))"
     return f"""{_pool('c_mktsegment', v, unit, where)},
 {_draws(**grid)},
-moments AS (
-  SELECT sample_size, iter,
-         avg(value) FILTER (g = '{PAIR[0]}') AS mean1, stddev_samp(value) FILTER (g = '{PAIR[0]}') AS sd1,
-         avg(value) FILTER (g = '{PAIR[1]}') AS mean2, stddev_samp(value) FILTER (g = '{PAIR[1]}') AS sd2
-  FROM draws GROUP BY 1, 2),
+moments AS (SELECT g, sample_size, iter, avg(value) AS mean, stddev_samp(value) AS sd FROM draws GROUP BY ALL),
+listed(group1, group2) AS (VALUES {listed}),
 freedom AS (
-  SELECT *, {df} AS df FROM (SELECT *, sd1*sd1 AS v1, sd2*sd2 AS v2, sample_size::DOUBLE AS n FROM moments)),
+  SELECT *, {df} AS df FROM (
+    SELECT group1, group2, a.sample_size, a.iter, a.mean AS mean1, a.sd AS sd1, b.mean AS mean2, b.sd AS sd2,
+           a.sd*a.sd AS v1, b.sd*b.sd AS v2, a.sample_size::DOUBLE AS n
+    FROM listed JOIN moments a ON a.g = group1 JOIN moments b ON b.g = group2 AND b.sample_size = a.sample_size AND b.iter = a.iter)),
 {_t_quantiles('freedom', 'df')},
 errors AS (SELECT f.*, q * sqrt((v1+v2)/n) AS e FROM freedom f LEFT JOIN quantiles USING (df)),
 boot2 AS (
-  SELECT sample_size, iter, mean1, sd1, mean2, sd2, mean1 - mean2 AS mean_diff, mean1 - mean2 - e AS lower_ci,
+  SELECT group1, group2, sample_size, iter, mean1, sd1, mean2, sd2, mean1 - mean2 AS mean_diff, mean1 - mean2 - e AS lower_ci,
          mean1 - mean2 + e AS upper_ci, 2 * e AS width_ci
   FROM errors)"""
 
 
 def _curve2(n_tested: int, n_min: int) -> str:
     return f"""curve AS (
-  SELECT sample_size, avg(mean_diff) AS mean_diff, avg(lower_ci) AS lower_ci, avg(upper_ci) AS upper_ci,
+  SELECT group1, group2, sample_size, avg(mean_diff) AS mean_diff, avg(lower_ci) AS lower_ci, avg(upper_ci) AS upper_ci,
          avg(width_ci) AS width_ci, sample_size > {n_tested} AS extrapolated
-  FROM boot2 WHERE sample_size >= {n_min} GROUP BY sample_size)"""
+  FROM boot2 WHERE sample_size >= {n_min} GROUP BY ALL)"""
 
 
 def _pairs(pairs: list[tuple], source: str = "customer", g: str = "c_mktsegment", v: str = "c_acctbal") -> str:
@@ -230,42 +235,45 @@ pair AS (
   FROM pairs JOIN stats a ON a.g IS NOT DISTINCT FROM group1 JOIN stats b ON b.g IS NOT DISTINCT FROM group2)"""
 
 
-# Two-sided p: 1 - 2 * integral of the density over 0..|t|, by Simpson's rule.
-SIMPSON = 2000
+# Two-sided p: the integral of the tail by Simpson's rule, over the angle whose tangent is t / sqrt(df), as far as the
+# density is not negligible beside its largest value.
+SIMPSON, TAIL = 2000, 8000
 
 
 def _welch(pairs: list[tuple], *source: str) -> str:
-    constant = "exp(lgamma((df+1)/2) - lgamma(df/2)) / sqrt(pi()*df)"
+    constant = "exp(lgamma((df+1)/2) - lgamma(df/2)) / sqrt(pi())"
     return f"""{_pairs(pairs, *source)},
 tested AS (
   SELECT *, (mean1-mean2) / sqrt(v1/n1 + v2/n2) AS t, sqrt(v1/n1 + v2/n2) AS se,
          pow(v1/n1 + v2/n2, 2) / (pow(v1/n1, 2)/(n1-1) + pow(v2/n2, 2)/(n2-1)) AS df
   FROM pair),
+angles AS (
+  SELECT group1, group2, df, atan(abs(t)/sqrt(df)) AS low, least(pi()/2, atan(abs(t)/sqrt(df)) + 12/sqrt(df)) AS high FROM tested),
 integrals AS (
   SELECT group1, group2,
-         sum(CASE WHEN k IN (0, {SIMPSON}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END
-             * pow(1 + pow(abs(t)*k/{SIMPSON}, 2)/df, -(df+1)/2)) * any_value(abs(t)/{SIMPSON}/3 * {constant}) AS area
-  FROM tested, unnest(range(0, {SIMPSON} + 1)) s(k) GROUP BY 1, 2),
+         sum((CASE WHEN k IN (0, {TAIL}) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(low + (high-low)*k/{TAIL}), df-1))
+           * any_value((high-low)/{TAIL}/3 * {constant}) AS tail
+  FROM angles, unnest(range(0, {TAIL} + 1)) s(k) GROUP BY 1, 2),
 {_t_quantiles('tested', 'df')},
 welch AS (
-  SELECT t.group1, t.group2, mean1, mean2, t, df, 1 - 2*area AS p_value, mean1 - mean2 - se * q AS lower_ci,
+  SELECT t.group1, t.group2, mean1, mean2, t, df, 2*tail AS p_value, log10(2*tail) AS log_p, mean1 - mean2 - se * q AS lower_ci,
          mean1 - mean2 + se * q AS upper_ci
   FROM tested t JOIN integrals i ON t.group1 IS NOT DISTINCT FROM i.group1 AND t.group2 IS NOT DISTINCT FROM i.group2
   JOIN quantiles USING (df))"""
 
 
-def _pooled(pairs: list[tuple], source: str = "customer") -> str:
-    return f"""{_pairs(pairs, source)},
+def _pooled(pairs: list[tuple], *source: str) -> str:
+    return f"""{_pairs(pairs, *source)},
 pooled AS (
   SELECT *, sqrt(((n1-1)*v1 + (n2-1)*v2) / (n1+n2-2)) AS s_pooled,
          sqrt(((n1-1)*v1 + (n2-1)*v2) / (n1+n2-2)) * sqrt(1.0::DOUBLE/n1 + 1.0::DOUBLE/n2) AS se_diff
   FROM pair)"""
 
 
-def _design(pairs: list[tuple], source: str = "customer") -> str:
-    return f"""{_pooled(pairs, source)},
+def _design(pairs: list[tuple], *source: str) -> str:
+    return f"""{_pooled(pairs, *source)},
 effects(possible_effect) AS (VALUES {_values([(e,) for e in EFFECTS])}),
-grid AS (SELECT group1, group2, possible_effect::DOUBLE AS possible_effect, se_diff, abs(possible_effect)/se_diff AS r
+grid AS (SELECT group1, group2, n1, n2, s_pooled, possible_effect::DOUBLE AS possible_effect, se_diff, abs(possible_effect)/se_diff AS r
          FROM pooled, effects),
 -- normal density integrated from 0 to z - r and from 0 to z + r
 areas AS (
@@ -276,7 +284,7 @@ areas AS (
   GROUP BY 1, 2, 3),
 tails AS (SELECT grid.*, 0.5 - a AS hi, 0.5 - b AS lo FROM grid JOIN areas USING (group1, group2, possible_effect)),
 design AS (
-  SELECT group1, group2, possible_effect, se_diff, hi + lo AS power, lo / (hi + lo) AS type_s,
+  SELECT group1, group2, n1, n2, s_pooled, possible_effect, se_diff, hi + lo AS power, lo / (hi + lo) AS type_s,
          (r*(hi - lo) + (exp(-pow({Z}-r, 2)/2) + exp(-pow({Z}+r, 2)/2)) / sqrt(2*pi())) / (r*(hi + lo)) AS type_m
   FROM tails)"""
 
@@ -315,17 +323,16 @@ hist AS (
 
 
 def oracles() -> dict[str, str]:
-    small, medium = _boot(SMALL), _boot(MEDIUM)
-    ci, cover, precise = _ci(MEDIUM), _coverage(MEDIUM), _precision(MEDIUM)
+    drawn = _boot(GRID)
+    ci, cover, precise = _ci(GRID), _coverage(GRID), _precision(GRID)
     kept = f"(SELECT * FROM customer WHERE c_nationkey NOT IN {tuple(EXCLUDED)})"
     boot_cols = (BOOT_KEYS, "mean, sd")
     median_cols = (BOOT_KEYS, "mean, sd, median_pop_val")
     two_cols = ("sample_size, iter", "mean1, sd1, mean2, sd2, mean_diff, lower_ci, upper_ci, width_ci")
     curve2_cols = ("sample_size, extrapolated", "mean_diff, lower_ci, upper_ci, width_ci")
-    welch_cols = ("group1, group2", "mean1, mean2, t, df, p_value, lower_ci, upper_ci")
+    welch_cols = ("group1, group2", "mean1, mean2, t, df, p_value, log_p, lower_ci, upper_ci")
     design_cols = ("group1, group2", "possible_effect, se_diff, power, type_s, type_m")
-    study_grid = dict(n_min=3, n_max=50, iters=99)
-    full, large = dict(n_min=3, n_max=50, iters=499), dict(n_min=3, n_max=50, iters=99)
+    pair = "group1, group2"
 
     def boot(text: str, where: str = "") -> str:
         return f"WITH {text} {_final('boot' + where, *boot_cols)}"
@@ -334,6 +341,39 @@ def oracles() -> dict[str, str]:
     tested20 = f"{RANKED}, tested AS (SELECT * FROM ranked WHERE ordinal <= 20)"
     unknown = "(SELECT * REPLACE (CASE WHEN c_acctbal < -500 THEN NULL ELSE c_acctbal END AS c_acctbal) FROM customer)"
     unknown_few = unknown.replace("-500", "-900")
+    change_cols = ("sample_size", "ci_change_mean, ci_change_sd, lower_se, upper_se, ci_se")
+    width_cols = ("sample_size", "ci_mean, ci_sd, lower_se, upper_se, ci_se")
+    capped = ", ".join(f"CASE WHEN {c} > {CAP} THEN {CAP} ELSE {c} END AS {c}" for c in ("ci_change_mean", "upper_se"))
+    study_precision = {
+        "study_precision_by_group": f"WITH {precise} {_final('by_group', 'c_nationkey, sample_size', 'w_ci, dw_ci')}",
+        "study_precision_width_se": f"WITH {precise} {_final('width_se', 'sample_size', 'mean_p, mean_se, lower, upper')}",
+        "study_precision_width": f"WITH {precise} {_final('width_rel', *width_cols)}",
+        "study_precision_width_focus": f"WITH {precise} {_final('width_rel WHERE sample_size > 3', *width_cols)}",
+        "study_precision_change": f"WITH {precise} {_final('change', *change_cols)}",
+        "study_precision_change_focus": f"WITH {precise}, capped AS (SELECT * REPLACE ({capped}) FROM change WHERE sample_size > 3) "
+        f"{_final('capped', *change_cols)}",
+    }
+    rooted = f"{RANKED}, roots AS (SELECT c_mktsegment, sqrt(abs(c_acctbal)) AS root_balance, ordinal FROM ranked WHERE ordinal <= 15)"
+    some = "(SELECT * FROM roots WHERE c_mktsegment IN " + str(tuple(sorted({x for p in PAIRS for x in p}))) + ")"
+    two15 = _two(GRID, "root_balance", "roots", "ordinal", PAIRS)
+    of_roots = ("roots", "c_mktsegment", "root_balance")
+    study_pairs = {
+        "study_pairs_counts": f"WITH {rooted} SELECT c_mktsegment, count(*) AS n FROM {some} GROUP BY 1",
+        "study_pairs_summary": f"WITH {rooted}, s AS (SELECT c_mktsegment, avg(root_balance) AS mean, count(*) AS n, "
+        f"stddev_samp(root_balance) AS sd, stddev_samp(root_balance) / sqrt(count(*)) AS se FROM {some} GROUP BY 1) "
+        f"{_final('s', 'c_mktsegment, n', 'mean, sd, se')}",
+        "study_pairs_welch": f"WITH RECURSIVE {rooted}, {_welch(PAIRS, *of_roots)} {_final('welch', *welch_cols)}",
+        "study_pairs_boot": f"WITH RECURSIVE {rooted}, {two15} {_final('boot2', f'{pair}, {two_cols[0]}', two_cols[1], 5)}",
+        "study_pairs_curve": f"WITH RECURSIVE {rooted}, {two15}, {_curve2(15, 3)} "
+        f"{_final('curve', f'{pair}, {curve2_cols[0]}', curve2_cols[1])}",
+        "study_pairs_diff": f"WITH RECURSIVE {rooted}, {two15}, d AS (SELECT {pair}, avg(lower_ci) AS lower_ci, "
+        "avg(upper_ci) AS upper_ci, avg(mean_diff) AS mean_diff FROM boot2 WHERE sample_size = 15 GROUP BY ALL) "
+        f"{_final('d', pair, 'lower_ci, upper_ci, mean_diff')}",
+        "study_pairs_pooled_se": f"WITH {rooted}, {_pooled(PAIRS, *of_roots)} "
+        f"{_final('pooled', 'group1, group2, n1, n2', 's_pooled, se_diff')}",
+        "study_pairs_design": f"WITH {rooted}, {_design(PAIRS, *of_roots)} "
+        f"{_final('design', 'group1, group2, n1, n2', 's_pooled, possible_effect, se_diff, power, type_s, type_m')}",
+    }
     return {
         "a01_decimal_comma_csv": "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS l_extendedprice FROM lineitem",
         "a02_csv": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
@@ -354,26 +394,26 @@ def oracles() -> dict[str, str]:
         "a09_levels": 'SELECT "column", level, row_number() OVER (PARTITION BY "column" ORDER BY level) AS code FROM ('
         "SELECT DISTINCT 'o_orderpriority' AS \"column\", o_orderpriority AS level FROM orders "
         "UNION ALL SELECT DISTINCT 'o_orderstatus', o_orderstatus FROM orders)",
-        "a10_bootstrap_groups": boot(small),
-        "a10_bootstrap_with_unknown_values": boot(_boot(SMALL, source=unknown)),
-        "a10_bootstrap_default_grid": boot(_boot(full)),
-        "a10_bootstrap_large_group": f"WITH {ITEMS}, {_boot(large, 'grp', 'root_price', 'items', 'unit')} "
+        "a10_bootstrap_groups": boot(drawn),
+        "a10_bootstrap_with_unknown_values": boot(_boot(GRID, source=unknown)),
+        "a10_bootstrap_default_grid": boot(drawn),
+        "a10_bootstrap_large_group": f"WITH {ITEMS}, {_boot(GRID, 'grp', 'root_price', 'items', 'unit')} "
         f"{_final('boot', 'grp, sample_size, iter', 'mean, sd')}",
-        "a15a_coverage_large_constant": "SELECT 'all' AS grp, n::INTEGER AS sample_size, 19::INTEGER AS max_n, NULL::DOUBLE AS n_correct, "
+        "a15a_coverage_large_constant": "SELECT 'all' AS grp, n::INTEGER AS sample_size, 499::INTEGER AS max_n, NULL::DOUBLE AS n_correct, "
         "NULL::DOUBLE AS prop_correct FROM unnest(range(3, 51)) s(n)",
-        "a11_bootstrap_batches": boot(small, f" WHERE c_nationkey IN {tuple(x for b in BATCHES for x in b)}"),
-        "a12_exclude_groups": boot(small, f" WHERE c_nationkey NOT IN {tuple(EXCLUDED)}"),
+        "a11_bootstrap_batches": boot(drawn, f" WHERE c_nationkey IN {tuple(x for b in BATCHES for x in b)}"),
+        "a12_exclude_groups": boot(drawn, f" WHERE c_nationkey NOT IN {tuple(EXCLUDED)}"),
         "a12_exclude_groups_table": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
         "WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",
         "a12_exclude_null_group": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
         f"WHERE c_nationkey NOT IN {(5, *EXCLUDED)}",
-        "a13_population_median_unknown": f"WITH {_ci(MEDIUM, unknown_few)} {_final('ci', *median_cols)}",
+        "a13_population_median_unknown": f"WITH {_ci(GRID, unknown_few)} {_final('ci', *median_cols)}",
         "a13_population_median": f"WITH {ci} {_final('ci', *median_cols)}",
-        "a13_population_median_full_join": f"WITH {medium}, medians AS (SELECT c_nationkey AS mg, median(mean) AS median_pop_val "
+        "a13_population_median_full_join": f"WITH {drawn}, medians AS (SELECT c_nationkey AS mg, median(mean) AS median_pop_val "
         "FROM boot WHERE sample_size = 30 GROUP BY 1), "
         "joined AS (SELECT coalesce(c_nationkey, mg) AS c_nationkey, sample_size, iter, mean, sd, median_pop_val "
         f"FROM boot FULL JOIN medians ON c_nationkey IS NOT DISTINCT FROM mg) {_final('joined', *median_cols)}",
-        "a14_t_ci": f"WITH {ci} {_final('ci', BOOT_KEYS, 'mean, sd, median_pop_val, std_error, error, lower_ci, upper_ci')}",
+        "a14_t_ci": f"WITH {ci} {_final('ci', BOOT_KEYS, 'mean, sd, median_pop_val, std_error, error, lower_ci, upper_ci', 5)}",
         "a15a_coverage": f"WITH {cover} {_final('shares', 'c_nationkey, sample_size, max_n', 'n_correct, prop_correct')}",
         "a15b_wilson_ci": f"WITH {cover} {_final('wilson', 'c_nationkey, sample_size', 'prop_correct, lower_ci, upper_ci')}",
         "a15c_pooled_curve": f"WITH {cover} {_final('curve', 'sample_size', 'prop_correct, lower_ci, upper_ci')}",
@@ -397,15 +437,25 @@ def oracles() -> dict[str, str]:
         "a25_group_summary_singletons": "WITH v AS (SELECT s_nationkey, CASE WHEN s_acctbal >= -800 THEN s_acctbal END AS x FROM supplier), "
         f"s AS (SELECT s_nationkey, {_strict('avg', 'x')} AS mean, count(*) AS n, {_strict('stddev_samp', 'x')} AS sd, "
         f"{_strict('stddev_samp', 'x')} / sqrt(count(*)) AS se FROM v GROUP BY 1) {_final('s', 's_nationkey, n', 'mean, sd, se')}",
-        "a26_welch_test": f"WITH RECURSIVE {_welch(PAIRS)} {_final('welch', *welch_cols, 3)}",
+        "a26_welch_test": f"WITH RECURSIVE {_welch(PAIRS)} {_final('welch', *welch_cols)}",
         "a26_welch_two_groups": f"WITH RECURSIVE {_welch([('F', 'O')], 'lineitem', 'l_linestatus', 'l_discount')} "
-        f"{_final('welch', *welch_cols, 3)}",
+        f"{_final('welch', *welch_cols)}",
         "a26_welch_null_group": "WITH RECURSIVE items AS (SELECT nullif(l_linestatus, 'F') AS s, l_discount FROM lineitem), "
-        f"{_welch([('O', None)], 'items', 's', 'l_discount')} {_final('welch', *welch_cols, 3)}",
-        "a27_bootstrap_two": f"WITH RECURSIVE {_two(SMALL)} {_final('boot2', *two_cols, 3)}",
-        "a28_two_group_curve": f"WITH RECURSIVE {_two(SMALL)}, {_curve2(7, 4)} {_final('curve', *curve2_cols, 3)}",
-        "a29_diff_at": f"WITH RECURSIVE {_two(SMALL)}, d AS (SELECT avg(lower_ci) AS lower_ci, avg(upper_ci) AS upper_ci, "
-        f"avg(mean_diff) AS mean_diff FROM boot2 WHERE sample_size = 8) {_final('d', '', 'lower_ci, upper_ci, mean_diff', 3)}",
+        f"{_welch([('O', None)], 'items', 's', 'l_discount')} {_final('welch', *welch_cols)}",
+        "a26_welch_small_p": "WITH RECURSIVE apart AS (SELECT o_orderpriority, "
+        "o_totalprice / 1000 * (1 + left(o_orderpriority, 1)::INTEGER / 40::DOUBLE) AS price FROM orders), "
+        f"{_welch([('1-URGENT', x) for x in ('2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW')], 'apart', 'o_orderpriority', 'price')} "
+        f"{_final('welch', *welch_cols)}",
+        "a27_bootstrap_pairs": f"WITH RECURSIVE {_two(GRID, pairs=PAIRS)} {_final('boot2', f'{pair}, {two_cols[0]}', two_cols[1], 5)}",
+        "a28_pair_curves": f"WITH RECURSIVE {_two(GRID, pairs=PAIRS)}, {_curve2(7, 4)} "
+        f"{_final('curve', f'{pair}, {curve2_cols[0]}', curve2_cols[1])}",
+        "a29_pair_differences": f"WITH RECURSIVE {_two(GRID, pairs=PAIRS)}, d AS (SELECT {pair}, avg(lower_ci) AS lower_ci, "
+        f"avg(upper_ci) AS upper_ci, avg(mean_diff) AS mean_diff FROM boot2 WHERE sample_size = 8 GROUP BY ALL) "
+        f"{_final('d', pair, 'lower_ci, upper_ci, mean_diff')}",
+        "a27_bootstrap_two": f"WITH RECURSIVE {_two(GRID)} {_final('boot2', *two_cols, 5)}",
+        "a28_two_group_curve": f"WITH RECURSIVE {_two(GRID)}, {_curve2(7, 4)} {_final('curve', *curve2_cols)}",
+        "a29_diff_at": f"WITH RECURSIVE {_two(GRID)}, d AS (SELECT avg(lower_ci) AS lower_ci, avg(upper_ci) AS upper_ci, "
+        f"avg(mean_diff) AS mean_diff FROM boot2 WHERE sample_size = 8) {_final('d', '', 'lower_ci, upper_ci, mean_diff')}",
         "a30_pooled_se": f"WITH {_pooled(PAIRS)} {_final('pooled', 'group1, group2, n1, n2', 's_pooled, se_diff')}",
         "a31_design_analysis": f"WITH {_design(PAIRS)} {_final('design', *design_cols)}",
         "a32_split_by_metric": f"WITH {LITERATURE} SELECT p_partkey, n, p_retailprice FROM lit "
@@ -422,18 +472,22 @@ def oracles() -> dict[str, str]:
         "a36_histogram_by_type": f"WITH {LITERATURE}, {_histogram('p_type,')} SELECT * FROM hist",
         "a36_histogram_group_outside": "WITH lit AS (SELECT p_type, nullif(p_size, 7) + CASE WHEN p_type = 'ECONOMY' THEN 100 ELSE 0 END "
         f"AS n FROM part), {_histogram('p_type,')} SELECT * FROM hist",
-        "study_coverage_default_grid": f"WITH {_coverage(full)} {_final('curve', 'sample_size', 'prop_correct, lower_ci, upper_ci')}",
-        "study_precision_default_grid": f"WITH {_precision(full)} "
+        "study_coverage_default_grid": f"WITH {_coverage(GRID)} {_final('curve', 'sample_size', 'prop_correct, lower_ci, upper_ci')}",
+        "study_precision_default_grid": f"WITH {_precision(GRID)} "
         f"{_final('change', 'sample_size', 'ci_change_mean, ci_change_sd, lower_se, upper_se, ci_se')}",
+        **study_precision,
+        **study_pairs,
+        "study_survey_records": f"WITH {LITERATURE} SELECT n, p_type, p_retailprice FROM lit WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2'",
+        "study_survey_known": f"WITH {SURVEYED} SELECT count(n) AS n_known FROM lit",
         "study_survey_shares": f"WITH {SURVEYED}, {_shares()} {_final('shares', 'n_known, n_above', 'threshold, prop_above')}",
         "study_survey_histogram": f"WITH {SURVEYED}, {_histogram()} SELECT * FROM hist",
         "study_survey_distribution": f"WITH {SURVEYED}, d AS (SELECT {DISTRIBUTION} FROM lit WHERE n IS NOT NULL) "
         f"{_final('d', 'min, max, nn', 'median, sd, se')}",
-        "study_coverage_curve": f"WITH {_coverage(study_grid, kept)} {_final('curve', 'sample_size', 'prop_correct, lower_ci, upper_ci')}",
+        "study_coverage_curve": f"WITH {_coverage(GRID, kept)} {_final('curve', 'sample_size', 'prop_correct, lower_ci, upper_ci')}",
         "study_clean_measurements": f"""WITH {LONG}, kept AS (
   SELECT segment || '_deg_c' AS "group", count(*) AS n, count(*) AS last, avg(balance) AS mean
   FROM long WHERE rep <= 30 AND segment <> 'machinery' GROUP BY 1) {_final('kept', '"group", n, last', 'mean')}""",
-        "study_two_groups": f"WITH RECURSIVE {tested15}, {_two(SMALL, 'c_acctbal', 'tested', 'ordinal')}, {_curve2(15, 3)} {_final('curve', *curve2_cols, 2)}",
+        "study_two_groups": f"WITH RECURSIVE {tested15}, {_two(GRID, 'c_acctbal', 'tested', 'ordinal')}, {_curve2(15, 3)} {_final('curve', *curve2_cols)}",
         "study_two_groups_design": f"WITH {tested20}, {_design([PAIR], 'tested')} {_final('design', *design_cols)}",
         "p_select": "SELECT p_partkey, p_name AS name, p_size, p_retailprice, round(p_retailprice / sqrt(p_size), 6) AS unit_price, "
         "abs(p_size - 25) AS size_change, pow(p_size, 2) AS size_squared FROM part",

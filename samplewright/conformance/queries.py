@@ -17,8 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 G, V, UNIT = "c_nationkey", "c_acctbal", "c_custkey"
 ROOT = "root_balance"
-SMALL = dict(n_min=3, n_max=50, iters=49, rng="md5")
-MEDIUM = dict(n_min=3, n_max=50, iters=99, rng="md5")
+GRID = dict(n_min=3, n_max=50, iters=499, rng="md5")
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 PAIRS = [
     ("AUTOMOBILE", "BUILDING"),
@@ -45,8 +44,8 @@ def rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
 
 
 def query(name: str, decimals: int = 6) -> Callable[[Query], Query]:
-    """Register a query. Those with t quantiles of broken degrees of freedom, which the SQL finds by another method, are
-    compared at fewer decimals, so that none lies between two roundings."""
+    """Register a query. Tables with an interval per resample hold millions of values, so that some differ from the SQL's
+    by the order of a sum just where the sixth decimal is rounded; they have one decimal less."""
 
     def register(f: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,16 +77,12 @@ def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customers(spark, sf_dir).withColumn(ROOT, F.sqrt(F.abs(V)))
 
 
-def small_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.bootstrap_groups(measured(spark, sf_dir), G, ROOT, UNIT, **SMALL)
-
-
-def medium_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.bootstrap_groups(measured(spark, sf_dir), G, ROOT, UNIT, **MEDIUM)
+def boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.bootstrap_groups(measured(spark, sf_dir), G, ROOT, UNIT, **GRID)
 
 
 def boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return studies.resample_with_ci(measured(spark, sf_dir), G, ROOT, UNIT, **MEDIUM)
+    return studies.resample_with_ci(measured(spark, sf_dir), G, ROOT, UNIT, **GRID)
 
 
 def staged_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +92,7 @@ def staged_boot_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def segment_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.bootstrap_two(
-        measured(spark, sf_dir), "c_mktsegment", *PAIR, ROOT, UNIT, **SMALL
+        measured(spark, sf_dir), "c_mktsegment", *PAIR, ROOT, UNIT, **GRID
     )
 
 
@@ -222,7 +217,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a10_bootstrap_groups")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return small_boot(spark, sf_dir)
+    return boot(spark, sf_dir)
 
 
 @query("a10_bootstrap_default_grid")
@@ -239,29 +234,29 @@ def line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a10_bootstrap_large_group")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.bootstrap_groups(line_items(spark, sf_dir), "grp", "root_price", "unit", iters=99, rng="md5")
+    return bootstrap.bootstrap_groups(line_items(spark, sf_dir), "grp", "root_price", "unit", rng="md5")
 
 
 @query("a15a_coverage_large_constant")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     constant = line_items(spark, sf_dir).withColumn("root_price", F.lit(0.1))
-    return coverage.coverage(studies.resample_with_ci(constant, "grp", "root_price", "unit", iters=19, rng="md5"), "grp")
+    return coverage.coverage(studies.resample_with_ci(constant, "grp", "root_price", "unit", rng="md5"), "grp")
 
 
 @query("a10_bootstrap_with_unknown_values")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = measured(spark, sf_dir).withColumn(ROOT, F.expr(f"if({V} < -500, null, {ROOT})"))
-    return bootstrap.bootstrap_groups(some, G, ROOT, UNIT, **SMALL)
+    return bootstrap.bootstrap_groups(some, G, ROOT, UNIT, **GRID)
 
 
 @query("a11_bootstrap_batches")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.bootstrap_batches(measured(spark, sf_dir), BATCHES, G, ROOT, UNIT, **SMALL)
+    return bootstrap.bootstrap_batches(measured(spark, sf_dir), BATCHES, G, ROOT, UNIT, **GRID)
 
 
 @query("a12_exclude_groups")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reshape.exclude_groups(small_boot(spark, sf_dir), G, EXCLUDED)
+    return reshape.exclude_groups(boot(spark, sf_dir), G, EXCLUDED)
 
 
 @query("a12_exclude_groups_table")
@@ -279,20 +274,20 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("a13_population_median_unknown")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = measured(spark, sf_dir).withColumn(ROOT, F.expr(f"if({V} < -900, null, {ROOT})"))
-    return bootstrap.attach_population_median(bootstrap.bootstrap_groups(some, G, ROOT, UNIT, **MEDIUM), G)
+    return bootstrap.attach_population_median(bootstrap.bootstrap_groups(some, G, ROOT, UNIT, **GRID), G)
 
 
 @query("a13_population_median")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.attach_population_median(medium_boot(spark, sf_dir), G)
+    return bootstrap.attach_population_median(boot(spark, sf_dir), G)
 
 
 @query("a13_population_median_full_join")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bootstrap.attach_population_median(medium_boot(spark, sf_dir), G, how="full")
+    return bootstrap.attach_population_median(boot(spark, sf_dir), G, how="full")
 
 
-@query("a14_t_ci")
+@query("a14_t_ci", 5)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boot_ci(spark, sf_dir)
 
@@ -388,33 +383,67 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.group_summary(supplier, "s_nationkey", "s_acctbal")
 
 
-@query("a26_welch_test", 3)
+def digits(tests: DataFrame) -> DataFrame:
+    """With the common logarithm of the p value, six decimals of which are six digits of however small a p value."""
+    return tests.withColumn("log_p", F.log10("p_value"))
+
+
+@query("a26_welch_test")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.welch_test(customers(spark, sf_dir), "c_mktsegment", V, PAIRS)
+    return digits(comparison.welch_test(customers(spark, sf_dir), "c_mktsegment", V, PAIRS))
+
+
+@query("a26_welch_small_p")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Priorities whose totals were pulled apart, so that the p values are far from one and zero alike."""
+    apart = table(spark, sf_dir, "orders").select(
+        "o_orderpriority", F.expr("o_totalprice / 1000 * (1 + int(left(o_orderpriority, 1)) / 40)").alias("price")
+    )
+    names = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    return digits(comparison.welch_test(apart, "o_orderpriority", "price", [(names[0], x) for x in names[1:]]))
 
 
-@query("a26_welch_two_groups", 3)
+@query("a26_welch_two_groups")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return comparison.welch_test(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_discount")
+    return digits(comparison.welch_test(table(spark, sf_dir, "lineitem"), "l_linestatus", "l_discount"))
 
 
-@query("a26_welch_null_group", 3)
+@query("a26_welch_null_group")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "lineitem").withColumn("l_linestatus", F.expr("nullif(l_linestatus, 'F')"))
-    return comparison.welch_test(items, "l_linestatus", "l_discount")
+    return digits(comparison.welch_test(items, "l_linestatus", "l_discount"))
 
 
-@query("a27_bootstrap_two", 3)
+@query("a27_bootstrap_two", 5)
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_boot(spark, sf_dir)
 
 
-@query("a28_two_group_curve", 3)
+def pair_boot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bootstrap.bootstrap_pairs(measured(spark, sf_dir), "c_mktsegment", PAIRS, ROOT, UNIT, **GRID)
+
+
+@query("a27_bootstrap_pairs", 5)
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_boot(spark, sf_dir)
+
+
+@query("a28_pair_curves")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.two_group_curve(pair_boot(spark, sf_dir), n_tested=7, n_min=4, by=["group1", "group2"])
+
+
+@query("a29_pair_differences")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return comparison.diff_at(pair_boot(spark, sf_dir), 8, ["group1", "group2"])
+
+
+@query("a28_two_group_curve")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.two_group_curve(segment_boot(spark, sf_dir), n_tested=7, n_min=4)
 
 
-@query("a29_diff_at", 3)
+@query("a29_diff_at")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.diff_at(segment_boot(spark, sf_dir), 8)
 
@@ -489,7 +518,7 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("study_coverage_curve")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     resampled = studies.resample_with_ci(
-        measured(spark, sf_dir), G, ROOT, UNIT, iters=99, rng="md5", exclude=EXCLUDED
+        measured(spark, sf_dir), G, ROOT, UNIT, rng="md5", exclude=EXCLUDED
     )
     return studies.coverage_curve(resampled, G)
 
@@ -499,10 +528,16 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return studies.coverage_curve(studies.resample_with_ci(measured(spark, sf_dir), G, ROOT, UNIT, rng="md5"), G)
 
 
-@query("study_precision_default_grid")
-def _(spark: SparkSession, sf_dir: str) -> DataFrame:
-    resampled = files.stage(studies.resample_with_ci(measured(spark, sf_dir), G, ROOT, UNIT, rng="md5"))
-    return studies.precision_tables(resampled, G)["change"]
+def precision_study(name: str) -> None:
+    @query(f"study_precision_{name}")
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        resampled = files.stage(studies.resample_with_ci(measured(spark, sf_dir), G, ROOT, UNIT, rng="md5"))
+        return studies.precision_tables(resampled, G, CAP)[name]
+
+
+for _name in ("by_group", "width_se", "width", "width_focus", "change", "change_focus"):
+    precision_study(_name)
+REGISTRY["study_precision_default_grid"] = REGISTRY["study_precision_change"]
 
 
 def survey_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
@@ -510,6 +545,16 @@ def survey_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return studies.survey_tables(literature(spark, sf_dir), "p_brand", "Brand#2", metrics)["ECONOMY"]
 
 
+@query("study_survey_records")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey_study(spark, sf_dir)["records"]
+
+
+@query("study_survey_known")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey_study(spark, sf_dir)["known"]
+
+
 @query("study_survey_shares")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survey_study(spark, sf_dir)["shares"]
@@ -535,11 +580,11 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("study_two_groups", 2)
+@query("study_two_groups")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = ranked_segments(spark, sf_dir)
     return studies.two_group_tables(
-        ranked, "c_mktsegment", *PAIR, V, "ordinal", 15, EFFECTS, **SMALL
+        ranked, "c_mktsegment", *PAIR, V, "ordinal", 15, EFFECTS, **GRID
     )["curve"]
 
 
@@ -551,6 +596,18 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pair_study(name: str) -> None:
+    @query(f"study_pairs_{name}", 5 if name == "boot" else 6)
+    def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ranked = ranked_segments(spark, sf_dir).withColumn(ROOT, F.sqrt(F.abs(V)))
+        found = studies.pair_tables(ranked, "c_mktsegment", PAIRS, ROOT, "ordinal", 15, EFFECTS, store=False, **GRID)[name]
+        return digits(found) if name == "welch" else found
+
+
+for _name in ("counts", "summary", "welch", "boot", "curve", "diff", "pooled_se", "design"):
+    pair_study(_name)
+
+
 # Relational primitives --------------------------------------------------------------
 
 

@@ -3,25 +3,18 @@
 from __future__ import annotations
 
 import math
-import sys
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from samplewright.functions.beta import NORMAL_DF
 from samplewright.functions.fits import fit_unit_interval, polynomial
 
-FIT_DEGREE = 20  # relative error below 1e-12 for every df >= 1
-NORMAL_DF = 1e6  # degrees of freedom beyond which a normal deviate is used
+FIT_DEGREE = 24  # relative error below 1e-13 for every df >= 1
 TABLE_DF = 200  # whole degrees of freedom looked up instead of fitted
 
-# Workers get the helpers below by value, so they need not have the package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 
 def _log_gamma_step(a: np.ndarray) -> np.ndarray:
     """log gamma(a + 1/2) - log gamma(a), without cancellation for large ``a``."""
@@ -113,12 +106,3 @@ def t_quantile_whole(df: str, level: float = 0.95) -> Column:
         f"CASE WHEN {df} > {TABLE_DF} THEN {t_quantile_sql(df, level)} "
         f"WHEN {df} >= 1 THEN get({_table(level)}, cast({df} - 1 AS INT)) END"
     )
-
-
-@F.pandas_udf(DoubleType())
-def two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided p value; used on one row per tested pair, after aggregation."""
-    known = (t.notna() & df.notna()).to_numpy()
-    p = np.full(len(t), np.nan)
-    p[known] = 2.0 * upper_tail(np.abs(t.to_numpy(float)[known]), df.to_numpy(float)[known])
-    return pd.Series(p).where(known, None)

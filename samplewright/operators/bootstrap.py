@@ -2,10 +2,10 @@
 
 How a group of any size is resampled without holding it in one place:
 
-1. every row gets a random ordinal 1..N in its group (:func:`shuffle_rank`);
-2. a group of at most ``CHUNK_ROWS`` rows is packed into one array, which answers all its draws in place;
-3. for a larger group the draws (size, iteration, draw number, ordinal) are made from its total alone and equi-joined
-   to its rows on (group, ordinal); a resample then gathers its values, at most ``n_max``, in the order of the draws.
+1. every row gets a random ordinal 1..N in its group (:func:`shuffle_rank`) and goes into an array of ``CHUNK_ROWS``;
+2. a group that is one array answers all its draws in place;
+3. for a larger group the draws are made from its total alone, addressed by (array, place) and equi-joined to the
+   arrays; a resample then gathers its values, at most ``n_max``, in the order of the draws.
 
 The size of a group chooses the plan and nothing else: both ways see the same values in the same order and fold them
 by the same arithmetic. A draw depends on its keys only, so results do not change with partitioning or batching.
@@ -159,28 +159,32 @@ def _resample_whole(
 
 
 def _resample_split(
-    ranked: DataFrame, g: str, n_min: int, n_max: int, iters: int, seed: int, rng: str
+    packed: DataFrame, g: str, n_min: int, n_max: int, iters: int, seed: int, rng: str, chunk_rows: int
 ) -> DataFrame:
-    """Resample groups that are spread over many rows: ``g, _v, _ordinal, total``.
+    """Resample groups that are several arrays: ``g, chunk, total, vals``.
 
-    The draws follow from the total of a group, which its first row knows. They are joined to the rows on (group,
-    ordinal), so only what is drawn moves on, and no ordinal is hot. A resample gathers its values, ``n_max`` at
-    most, sorted by draw number, and folds them block by block as :func:`_resample_whole` does.
+    The draws follow from the total of a group, which its first array knows. A draw is addressed by (chunk, place in
+    it) and joined to the array, so one row per array stands on the other side, and only what is drawn moves on. A
+    resample gathers its values, ``n_max`` at most, sorted by draw number, and folds them block by block as
+    :func:`_resample_whole` does.
     """
-    totals = ranked.filter("_ordinal = 1").select(g, "total")
+    totals = packed.filter("chunk = 0").select(g, "total")
     per_group = iters * sum(range(n_min, n_max + 1))
     at = [f"_first + {k}" for k in range(BLOCK)]
     listed = ", ".join(
-        f"CASE WHEN {j} <= sample_size THEN struct({j} AS _j, {draw_index(rng, '_prefix', j, 'total')} + 1 AS _at) END"
+        f"CASE WHEN {j} <= sample_size THEN struct({j} AS _j, {draw_index(rng, '_prefix', j, 'total')} AS _at) END"
         for j in at
     )
     draws = (
         _grid(_lanes(totals, g, per_group, iters, "0L"), g, n_min, n_max, seed, rng, f"sequence(_lane, {iters}, _lanes)")
         .selectExpr("*", f"explode(sequence(1, sample_size, {BLOCK})) AS _first")
         .selectExpr(quoted(g), "sample_size", "iter", f"inline(filter(array({listed}), x -> x IS NOT NULL))")
+        .selectExpr(quoted(g), "sample_size", "iter", "_j", f"_at div {chunk_rows} AS _chunk", f"cast(_at % {chunk_rows} AS INT) AS _place")
+    )
+    arrays = packed.select(F.col(g).alias("_group"), "chunk", "vals")
+    drawn = draws.join(arrays, F.col(g).eqNullSafe(F.col("_group")) & (F.col("_chunk") == F.col("chunk"))).selectExpr(
+        quoted(g), "sample_size", "iter", "_j", "get(vals, _place) AS _v"
     )
-    rows = ranked.select(F.col(g).alias("_group"), "_v", "_ordinal")
-    drawn = draws.join(rows, F.col(g).eqNullSafe(F.col("_group")) & (F.col("_at") == F.col("_ordinal")))
     gathered = drawn.groupBy(g, "sample_size", "iter").agg(
         F.expr("sort_array(collect_list(struct(_j, _v)))._v AS _vals")
     )
@@ -219,10 +223,9 @@ def bootstrap_groups(
     draws makes mean and sd NULL.
     """
     _check_grid(n_min, n_max, iters)
-    ranked = _ranked(df, g, v, unit, seed, rng)
-    packed = _pack(ranked.filter(f"total <= {chunk_rows}"), g, chunk_rows)
-    whole = _resample_whole(packed, g, n_min, n_max, iters, seed, rng)
-    split = _resample_split(ranked.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
+    packed = _pack(_ranked(df, g, v, unit, seed, rng), g, chunk_rows)
+    whole = _resample_whole(packed.filter(f"total <= {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
+    split = _resample_split(packed.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng, chunk_rows)
     return whole.unionByName(split)
 
 
@@ -281,8 +284,8 @@ def bootstrap_with_median(
     are unfolded, so a row per group is joined instead of one per resample.
     """
     _check_grid(n_min, n_max, iters)
-    ranked = _ranked(df, g, v, unit, seed, rng)
-    alone = _pack(ranked.filter(f"total <= {chunk_rows}"), g, chunk_rows)
+    packed = _pack(_ranked(df, g, v, unit, seed, rng), g, chunk_rows)
+    alone = packed.filter(f"total <= {chunk_rows}")
     if n_min <= at_n <= n_max:
         reference = _resample_whole(alone, g, at_n, at_n, iters, seed, rng)
         medians = _medians(reference, g, at_n, "sample_size", "mean")
@@ -290,7 +293,7 @@ def bootstrap_with_median(
     else:
         alone = alone.withColumn("median_pop_val", F.lit(None).cast("double"))
     whole = _resample_whole(alone, g, n_min, n_max, iters, seed, rng, ["median_pop_val"])
-    split = _resample_split(ranked.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng)
+    split = _resample_split(packed.filter(f"total > {chunk_rows}"), g, n_min, n_max, iters, seed, rng, chunk_rows)
     return whole.unionByName(attach_population_median(split, g, at_n))
 
 
@@ -343,6 +346,11 @@ def bootstrap_two(
     )
     absent = F.when(F.col("_n1") * F.col("_n2") == 0, F.raise_error(F.lit(f"{group1!r} or {group2!r} has no rows")))
     both = both.filter(F.coalesce(absent.cast("boolean"), F.lit(True))).drop("_n1", "_n2")
+    return _difference(both, level)
+
+
+def _difference(both: DataFrame, level: float) -> DataFrame:
+    """Add the difference of the means of two resamples and its Welch t interval."""
     n = F.col("sample_size")
     v1, v2 = F.col("sd1") * F.col("sd1"), F.col("sd2") * F.col("sd2")
     return (
@@ -354,3 +362,45 @@ def bootstrap_two(
         .withColumn("width_ci", F.col("upper_ci") - F.col("lower_ci"))
         .drop("_df", "_error")
     )
+
+
+def bootstrap_pairs(
+    df: DataFrame,
+    g: str,
+    pairs: DataFrame | Sequence[tuple[object, object]],
+    v: str,
+    unit: str | Sequence[str],
+    n_min: int = N_MIN,
+    n_max: int = N_MAX,
+    iters: int = ITERS,
+    seed: int = SEED,
+    rng: str = "xxhash64",
+    level: float = 0.95,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """:func:`bootstrap_two` of every pair: ``group1, group2, sample_size, iter`` and its columns.
+
+    ``pairs`` is a list or a table of two columns. Each group named is resampled once, however many pairs it is in, and
+    its resamples are joined to the sides it stands on; both sides of a resample meet on (pair, size, iteration). Pairs
+    named twice count once; NULL names the group of unknown key. A group without rows is an error, raised when the
+    resamples are read.
+    """
+    if isinstance(pairs, DataFrame):
+        listed = pairs.toDF("group1", "group2").distinct()
+    else:
+        kind = df.schema[g].dataType
+        rows = [F.struct(F.lit(a).cast(kind).alias("group1"), F.lit(b).cast(kind).alias("group2")) for a, b in pairs]
+        listed = df.sparkSession.range(1).select(F.inline(F.array(*rows))).distinct()
+    side = F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(f"group{i}").alias("name")) for i in (1, 2)]))
+    sides = listed.select("group1", "group2", side.alias("s")).select("group1", "group2", "s.side", "s.name")
+    named = sides.select(F.col("name").alias("_name")).distinct()
+    wanted = df.join(named, F.col(g).eqNullSafe(F.col("_name")), "left_semi")
+    boot = bootstrap_groups(wanted, g, v, unit, n_min, n_max, iters, seed, rng, chunk_rows)
+    boot = boot.withColumnRenamed(g, "_group")
+    met = sides.join(boot, F.col("name").eqNullSafe(F.col("_group")), "left")
+    absent = F.raise_error(F.concat(F.lit("no rows in "), F.to_json(F.struct("group1", "group2"))))
+    met = met.filter(F.when(F.col("sample_size").isNull(), absent.cast("boolean")).otherwise(F.lit(True)))
+    both = met.groupBy("group1", "group2", "sample_size", "iter").agg(
+        *[F.max(F.when(F.col("side") == i, F.col(c))).alias(f"{c}{i}") for i in (1, 2) for c in ("mean", "sd")]
+    )
+    return _difference(both, level)

@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from samplewright.functions.beta import two_sided_p
 from samplewright.functions.normal import density, upper_tail, z_value
 from samplewright.functions.nulls import ratio, strict
-from samplewright.functions.student import t_quantile, two_sided_p
+from samplewright.functions.student import t_quantile
 from samplewright.operators.bootstrap import welch_df
 
 
@@ -137,21 +138,22 @@ def design_analysis(df: DataFrame, effects: Sequence[float], se: str = "se_diff"
     )
 
 
-def two_group_curve(boot2: DataFrame, n_tested: int, n_min: int = 3) -> DataFrame:
+def two_group_curve(boot2: DataFrame, n_tested: int, n_min: int = 3, by: Sequence[str] = ()) -> DataFrame:
     """Per size the mean difference, its interval and width.
 
-    Sizes above ``n_tested``, the number of units really measured, are extrapolated.
+    Sizes above ``n_tested``, the number of units really measured, are extrapolated. ``by`` names the columns of a pair
+    if there are several.
     """
     cols = ("mean_diff", "lower_ci", "upper_ci", "width_ci")
     return (
         boot2.filter(F.col("sample_size") >= n_min)
-        .groupBy("sample_size")
+        .groupBy(*by, "sample_size")
         .agg(*[strict(F.avg, c).alias(c) for c in cols])
         .withColumn("extrapolated", F.col("sample_size") > n_tested)
     )
 
 
-def diff_at(boot2: DataFrame, n: int) -> DataFrame:
+def diff_at(boot2: DataFrame, n: int, by: Sequence[str] = ()) -> DataFrame:
     """The difference and its interval at one size, averaged over iterations."""
     cols = ("lower_ci", "upper_ci", "mean_diff")
-    return boot2.filter(F.col("sample_size") == n).agg(*[strict(F.avg, c).alias(c) for c in cols])
+    return boot2.filter(F.col("sample_size") == n).groupBy(*by).agg(*[strict(F.avg, c).alias(c) for c in cols])

@@ -18,7 +18,7 @@ from samplewright.operators.bootstrap import (
     N_MIN,
     REFERENCE_SIZE,
     SEED,
-    bootstrap_two,
+    bootstrap_pairs, bootstrap_two,
     bootstrap_with_median,
     t_ci,
 )
@@ -134,6 +134,43 @@ def two_group_tables(
     }
 
 
+def pair_tables(
+    df: DataFrame,
+    g: str,
+    pairs: Sequence[tuple[object, object]],
+    v: str,
+    unit: str,
+    n_tested: int,
+    effects: Sequence[float],
+    n_min: int = N_MIN,
+    n_max: int = N_MAX,
+    iters: int = ITERS,
+    seed: int = SEED,
+    rng: str = "xxhash64",
+    store: bool = True,
+) -> dict[str, DataFrame]:
+    """:func:`two_group_tables` of many pairs at once: every table has a row per pair where that one has a single row.
+
+    A group is resampled once for all its pairs.
+    """
+    names = list(dict.fromkeys(x for p in pairs for x in p))
+    tested = comparison.study_subset(df, g, names, n_tested, unit)
+    boot = bootstrap_pairs(tested, g, pairs, v, unit, n_min, n_max, iters, seed, rng)
+    boot = stage(boot) if store else boot
+    pooled = comparison.pooled_se(tested, g, v, pairs)
+    pair = ["group1", "group2"]
+    return {
+        "counts": comparison.group_count(tested, g),
+        "summary": comparison.group_summary(tested, g, v),
+        "welch": comparison.welch_test(tested, g, v, pairs),
+        "boot": boot,
+        "curve": comparison.two_group_curve(boot, n_tested, n_min, pair),
+        "diff": comparison.diff_at(boot, n_tested, pair),
+        "pooled_se": pooled,
+        "design": comparison.design_analysis(pooled, effects),
+    }
+
+
 def survey_tables(
     df: DataFrame,
     class_col: str,

@@ -221,3 +221,37 @@ def test_large_and_small_groups_agree_on_infinite_values_and_constants(spark):
 def test_an_absent_group_is_an_error(data):
     with pytest.raises(Exception, match="has no rows"):
         bootstrap.bootstrap_two(data, "g", "a", "nobody", "v", "u", **GRID).collect()
+
+
+def test_pairs_equal_single_calls_and_resample_a_group_once(spark):
+    data = spark.range(200).selectExpr("id", "concat('g', id % 4) AS g", "sqrt(id) AS v")
+    pairs = [("g0", "g1"), ("g2", "g0"), ("g0", "g1")]
+    options = dict(n_min=3, n_max=9, iters=11)
+    got = bootstrap.bootstrap_pairs(data, "g", pairs, "v", "id", **options)
+    table = spark.createDataFrame(pairs, "a string, b string")
+    columns = [c for c in got.columns if not c.startswith("group")]
+    for a, b in pairs[:2]:
+        want = sorted(map(tuple, bootstrap.bootstrap_two(data, "g", a, b, "v", "id", **options).select(*columns).collect()))
+        for found in (got, bootstrap.bootstrap_pairs(data, "g", table, "v", "id", **options)):
+            assert sorted(map(tuple, found.filter((F.col("group1") == a) & (F.col("group2") == b)).select(*columns).collect())) == want
+    assert got.count() == 2 * 7 * 11
+    # The data are read as often as for one bootstrap of all groups, so the draws of a group are made once.
+    reads = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 200")
+    assert reads(got) == reads(bootstrap.bootstrap_groups(data, "g", "v", "id", **options)) > 0
+
+
+def test_pairs_of_unknown_and_absent_groups(spark):
+    data = spark.range(60).selectExpr("id", "nullif(concat('g', id % 3), 'g2') AS g", "double(id) AS v")
+    options = dict(n_min=3, n_max=4, iters=5)
+    got = bootstrap.bootstrap_pairs(data, "g", [("g0", None), ("g1", "g1")], "v", "id", **options).collect()
+    assert len(got) == 20 and all(r.mean_diff == 0 for r in got if r.group2 == "g1")
+    with pytest.raises(Exception, match="no rows in"):
+        bootstrap.bootstrap_pairs(data, "g", [("g0", "g1"), ("x", "y")], "v", "id", **options).collect()
+
+
+def test_draws_of_large_groups_are_answered_by_arrays(spark):
+    """Groups of one, two and many arrays beside each other give what one array each would."""
+    data = spark.range(700).selectExpr("id", "CASE WHEN id < 30 THEN 'a' WHEN id < 75 THEN NULL ELSE 'c' END AS g", "sqrt(id) AS v")
+    options = dict(n_min=1, n_max=40, iters=7)
+    whole = sorted(map(str, bootstrap.bootstrap_groups(data, "g", "v", "id", **options).collect()))
+    assert sorted(map(str, bootstrap.bootstrap_groups(data, "g", "v", "id", chunk_rows=32, **options).collect())) == whole

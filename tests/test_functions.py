@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from samplewright.functions import normal, student
+from samplewright.functions import beta, normal, student
 from samplewright.functions.hashing import order_key, slice_of
 from samplewright.functions.nulls import clamp_above, null_safe, ratio, strict
 
@@ -20,7 +20,7 @@ def test_t_quantile_columns_match_the_exact_quantile(spark):
     for level in (0.9, 0.95, 0.99):
         got = frame.select("d", student.t_quantile("d", level).alias("t")).collect()
         for d, t in got:
-            assert t == pytest.approx(student.quantile(level, np.array([d]))[0], rel=1e-10)
+            assert t == pytest.approx(student.quantile(level, np.array([d]))[0], rel=1e-11)
         whole = frame.filter("d = floor(d)").selectExpr("cast(d as int) d")
         for d, t in whole.select("d", student.t_quantile_whole("d", level).alias("t")).collect():
             assert t == pytest.approx(student.quantile(level, np.array([float(d)]))[0], rel=1e-10)
@@ -37,7 +37,7 @@ def test_two_sided_p(spark):
     frame = spark.createDataFrame(
         [(t, df), (0.0, 3.0), (1.0, 1.0), (40.0, 10.0), (None, 2.0)], "t double, df double"
     )
-    p = [r.p for r in frame.select(student.two_sided_p("t", "df").alias("p")).collect()]
+    p = [r.p for r in frame.select(beta.two_sided_p("t", "df").alias("p")).collect()]
     assert p[0] == pytest.approx(0.2351941114, abs=1e-9)
     assert p[1] == pytest.approx(1.0)
     assert p[2] == pytest.approx(0.5)  # Cauchy
@@ -45,6 +45,27 @@ def test_two_sided_p(spark):
     assert p[4] is None
 
 
+def test_two_sided_p_over_the_whole_range(spark):
+    """Against the vectorised tail, in relative terms, so that small p values count too."""
+    dfs = [0.4, 1.0, 1.7, 2.0, 4.749, 11.3, 30.0, 61.5, 333.0, 4321.0, 59_998.4, 999_999.0, 3e6, 1e9]
+    ts = [0.0, 1e-9, 1e-3, 0.4, 1.0, 1.7, 1.96, 3.0, 7.5, 20.0, -5.0]
+    frame = spark.createDataFrame([(t, d) for d in dfs for t in ts], "t double, df double")
+    for r in frame.withColumn("p", beta.two_sided_p("t", "df")).collect():
+        want = 2 * float(student.upper_tail(np.array([abs(r.t)]), np.array([r.df]))[0])
+        assert r.p == pytest.approx(want, rel=1e-9, abs=1e-300), r
+    # Closed forms: one and two degrees of freedom.
+    for r in frame.filter("df IN (1.0, 2.0)").withColumn("p", beta.two_sided_p("t", "df")).collect():
+        t = abs(r.t)
+        want = 2 * math.atan2(1, t) / math.pi if r.df == 1 else 2 / ((math.sqrt(2 + t * t) + t) * math.sqrt(2 + t * t))
+        assert r.p == pytest.approx(want, rel=1e-12)
+
+
+def test_p_values_need_no_python(spark):
+    frame = spark.createDataFrame([(1.0, 2.5), (None, 2.0), (1.0, None), (1.0, 0.0)], "t double, df double")
+    found = frame.select(beta.two_sided_p("t", "df").alias("p"))
+    assert "Python" not in found._jdf.queryExecution().toString() and [r.p is None for r in found.collect()] == [False, True, True, True]
+
+
 def test_p_and_quantile_are_inverse():
     df = np.array([1.3, 4.749, 30.0, 333.0, 1e5, 1e9])
     assert 2 * student.upper_tail(student.quantile(0.95, df), df) == pytest.approx(0.05, rel=1e-10)
