@@ -402,6 +402,7 @@ def oracles() -> dict[str, str]:
         "a15a_coverage_large_constant": "SELECT 'all' AS grp, n::INTEGER AS sample_size, 499::INTEGER AS max_n, NULL::DOUBLE AS n_correct, "
         "NULL::DOUBLE AS prop_correct FROM unnest(range(3, 51)) s(n)",
         "a11_bootstrap_batches": boot(drawn, f" WHERE c_nationkey IN {tuple(x for b in BATCHES for x in b)}"),
+        "a11_bootstrap_batches_resumed": boot(drawn, f" WHERE c_nationkey IN {tuple(x for b in BATCHES for x in b)}"),
         "a12_exclude_groups": boot(drawn, f" WHERE c_nationkey NOT IN {tuple(EXCLUDED)}"),
         "a12_exclude_groups_table": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
         "WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2)",

@@ -254,6 +254,14 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.bootstrap_batches(measured(spark, sf_dir), BATCHES, G, ROOT, UNIT, **GRID)
 
 
+@query("a11_bootstrap_batches_resumed")
+def _(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first batch is there already; the run draws the others."""
+    store = scratch_path(spark)
+    bootstrap.bootstrap_batches(measured(spark, sf_dir), BATCHES[:1], G, ROOT, UNIT, store=store, **GRID)
+    return bootstrap.bootstrap_batches(measured(spark, sf_dir), BATCHES, G, ROOT, UNIT, store=store, **GRID)
+
+
 @query("a12_exclude_groups")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.exclude_groups(boot(spark, sf_dir), G, EXCLUDED)

@@ -13,6 +13,8 @@ by the same arithmetic. A draw depends on its keys only, so results do not chang
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from functools import reduce
 
@@ -23,7 +25,7 @@ from samplewright.functions.hashing import draw_index, draw_prefix
 from samplewright.functions.nulls import col, quoted, ratio, strict
 from samplewright.functions.student import t_quantile, t_quantile_whole
 from samplewright.operators.ordering import columns, shuffle_rank
-from samplewright.session import shuffle_partitions
+from samplewright.session import is_stored, shuffle_partitions
 
 # Fixed values of the study design.
 N_MIN, N_MAX, ITERS, SEED = 3, 50, 499, 2012
@@ -230,11 +232,50 @@ def bootstrap_groups(
 
 
 def bootstrap_batches(
-    df: DataFrame, batches: Sequence[Sequence[object]], g: str, v: str, unit: str | Sequence[str], **options: object
+    df: DataFrame,
+    batches: Sequence[Sequence[object]],
+    g: str,
+    v: str,
+    unit: str | Sequence[str],
+    store: str | None = None,
+    **options: object,
 ) -> DataFrame:
-    """Resample declared subsets of the groups one after the other and append them."""
-    parts = [bootstrap_groups(df.filter(F.col(g).isin(*batch)), g, v, unit, **options) for batch in batches]
-    return reduce(DataFrame.unionByName, parts)
+    """Resample declared subsets of the groups one after the other and append them.
+
+    With ``store``, a folder all executors can reach, every batch is written there under a digest of all its resamples
+    depend on: its groups, the options, and the number and hashes of its rows. A batch that is there complete is read and
+    not drawn again, so a run that was broken off, or gets more batches, goes on where it stands; changed data or options
+    make new batches beside the old. The table ``manifest`` in the folder lists each batch with its digest.
+    """
+    parts = [df.filter(F.col(g).isin(*batch)) for batch in batches]
+    if store is None:
+        return reduce(DataFrame.unionByName, [bootstrap_groups(part, g, v, unit, **options) for part in parts])
+    spark = df.sparkSession
+    defaults = dict(n_min=N_MIN, n_max=N_MAX, iters=ITERS, seed=SEED, rng="xxhash64")
+    settings = {"g": g, "v": v, "unit": columns(unit), **defaults, **options}
+    settings.pop("chunk_rows", None)  # never changes a result
+    row = F.xxhash64(g, F.col(v).cast("double"), *columns(unit))
+    numbered = F.explode(F.array(*[F.when(F.col(g).isin(*batch), F.lit(i)) for i, batch in enumerate(batches)]))
+    content = (
+        df.select(numbered.alias("batch"), row.alias("h"))
+        .filter(F.col("batch").isNotNull())
+        .groupBy("batch")
+        .agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"))
+    )
+    known = {r["batch"]: [r["n"], r["x"], str(r["s"])] for r in content.collect()}  # a row per batch
+    done = []
+    for i, (batch, part) in enumerate(zip(batches, parts, strict=True)):
+        described = json.dumps([sorted(map(repr, batch)), settings, known.get(i)], sort_keys=True, default=str)
+        digest = hashlib.sha256(described.encode()).hexdigest()[:32]
+        path = f"{store.rstrip('/')}/batch-{digest}"
+        drawn = bootstrap_groups(part, g, v, unit, **options)
+        present = is_stored(spark, path)
+        if not present:
+            drawn.write.mode("overwrite").parquet(path)
+            line = spark.range(1).select(F.lit(i).alias("batch"), F.lit(digest).alias("digest"), F.lit(described).alias("described"))
+            line.write.mode("append").json(f"{store.rstrip('/')}/manifest")
+        done.append(spark.read.schema(drawn.schema).parquet(path))
+    return reduce(DataFrame.unionByName, done)
 
 
 def _medians(boot: DataFrame, g: str, at_n: int, n: str, mean: str) -> DataFrame:

@@ -255,3 +255,30 @@ def test_draws_of_large_groups_are_answered_by_arrays(spark):
     options = dict(n_min=1, n_max=40, iters=7)
     whole = sorted(map(str, bootstrap.bootstrap_groups(data, "g", "v", "id", **options).collect()))
     assert sorted(map(str, bootstrap.bootstrap_groups(data, "g", "v", "id", chunk_rows=32, **options).collect())) == whole
+
+
+def test_batches_go_on_where_they_stand(spark, tmp_path):
+    data = spark.range(240).selectExpr("id", "id % 6 AS g", "sqrt(id) AS v")
+    batches, store, options = [[0, 1], [2, 3], [4, 5]], str(tmp_path), dict(n_min=3, n_max=6, iters=9)
+
+    def files():
+        return {p.name: p.stat().st_mtime_ns for d in tmp_path.glob("batch-*") for p in d.glob("*.parquet")}
+
+    want = sorted(map(tuple, bootstrap.bootstrap_batches(data, batches, "g", "v", "id", **options).collect()))
+    assert sorted(map(tuple, bootstrap.bootstrap_batches(data, batches, "g", "v", "id", store=store, **options).collect())) == want
+    before, folders = files(), sorted(tmp_path.glob("batch-*"))
+    assert len(folders) == 3 and spark.read.json(f"{store}/manifest").count() == 3
+    # A batch that was broken off has no mark of success.
+    (folders[1] / "_SUCCESS").unlink()
+    lost = {p.name for p in folders[1].glob("*.parquet")}
+    again = bootstrap.bootstrap_batches(data, batches, "g", "v", "id", store=store, **options)
+    assert sorted(map(tuple, again.collect())) == want
+    after = files()
+    assert {n: t for n, t in before.items() if n not in lost} == {n: t for n, t in after.items() if n in before and n not in lost}
+    assert not lost & set(after) and len(list(tmp_path.glob("batch-*"))) == 3
+    # Other data in one batch, or another seed, are other batches; the rest is read.
+    changed = data.withColumn("v", F.expr("if(id = 4, 0D, v)"))
+    bootstrap.bootstrap_batches(changed, batches, "g", "v", "id", store=store, **options)
+    assert len(list(tmp_path.glob("batch-*"))) == 4
+    bootstrap.bootstrap_batches(data, batches, "g", "v", "id", store=store, seed=1, **options)
+    assert len(list(tmp_path.glob("batch-*"))) == 7
