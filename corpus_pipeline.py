@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from samplewright.llm import decontamination, line_dedup, packing, simhash, toxicity
 from samplewright.llm.common import KEY, identified, table
-from samplewright.session import settle
+from samplewright.session import Scratch, scratch
 
 TOXIC = 0.3
 BITS = 2
@@ -73,7 +73,17 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages applied to ``documents``, one after the other.
+
+    What a stage has stored goes once its result is stored, and that result once the next one is, so at the end only the
+    last stage's rows are left in the shared folder.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs = settle(stage(spark, docs, sf_dir))
+        kept = Scratch(spark)
+        with scratch(spark) as scope:
+            docs = scope.keep(stage(spark, docs, sf_dir), kept)
+        if before:
+            before.close()
+        before = kept
     return docs
