@@ -149,7 +149,8 @@ def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         F.sort_array(F.collect_list("cut")).alias("cuts"),
         F.sum(F.col("cut.last") - F.col("cut.first") + 1).alias("n_lines_removed"),
     )
-    return keyed.join(settle(cuts), KEY, "left").select(
+    # A shuffle at every size: what a cut costs must not change with the number of cuts.
+    return keyed.join(settle(cuts).hint("merge"), KEY, "left").select(
         KEY, "row", "cuts", F.coalesce("n_lines_removed", F.lit(0)).cast("long").alias("n_lines_removed")
     )
 
