@@ -21,20 +21,20 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-import regex
+import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from samplewright.session import settle
 
-CHUNK_CHARS = 1 << 21  # characters of text in a chunk, or one document
+CHUNK_CHARS = 1 << 20  # characters of text in a chunk, or one document
 WORD = 32  # bits of the second id in a pair
-REMEMBERED = 1 << 19  # pre-tokens a worker keeps the ids of
 
 # How a byte-level tokenizer cuts a text before it merges, and letters on which all engines of such patterns
 # agree.
-CUT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa0-\u024f]*")
 
 
@@ -49,18 +49,28 @@ def byte_letters() -> dict[str, int]:
 class Side:
     """What one tokenizer gives: ids of texts, and the bytes of every id."""
 
+    ends: tuple[str, str]
+
     def __init__(self, pieces: Sequence[bytes]) -> None:
         self.pieces = list(pieces)
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         # Decimal ids as they stand inside a group, and at its end.
         self.words = [f"{i}{end}".encode() for i in range(len(self.pieces)) for end in self.ends]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def ask(self, text: str) -> list[int]:
         raise NotImplementedError
 
+    def encode(self, text: str) -> np.ndarray | None:
+        """Ids of the text with a blank before it; None if their bytes are not those of blank and text."""
+        ids = self.ask(text)
+        same = b"".join(map(self.pieces.__getitem__, ids)) == b" " + text.encode("utf-8", "surrogatepass")
+        return np.array(ids, np.int64) if same else None
+
 
 class ByteLevel(Side):
-    """Ids of a cut of the text do not depend on its neighbours, so those of frequent cuts are remembered."""
+    """A byte-level vocabulary whose ids are in the order of its merges is the same as a list of ranks, which a faster
+    encoder takes. Other vocabularies, and texts with letters that engines of patterns may class differently, are encoded
+    as the file says."""
 
     ends = (",", "|")
 
@@ -73,36 +83,19 @@ class ByteLevel(Side):
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         super().__init__([bytes(letters[c] for c in n) if all(c in letters for c in n) else n.encode() for n in names])
         rules = json.loads(self.tokenizer.to_str())
-        before = rules["pre_tokenizer"] or {}
-        self.cuts = (
-            rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
-            and not before.get("add_prefix_space")
-        )
-        self.memo: dict[str, bytes] = {}
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[bytes] = [b""] * len(texts)
-        other = []
-        for i, t in enumerate(texts):
-            if not self.cuts or not PLAIN.fullmatch(t):
-                other.append(i)
-                continue
-            cuts = CUT.findall(" " + t)
-            try:
-                out[i] = b"".join(map(self.memo.__getitem__, cuts))
-            except KeyError:
-                if len(self.memo) > REMEMBERED:
-                    self.memo.clear()
-                new = [c for c in set(cuts) if c not in self.memo]
-                self.memo.update(zip(new, self._ask(new), strict=True))
-                out[i] = b"".join(map(self.memo.__getitem__, cuts))
-        for i in other:
-            out[i] = self._ask([" " + texts[i]])[0]
-        return [np.frombuffer(x, "<u4").astype(np.int64) for x in out]
+        before, merges = rules["pre_tokenizer"] or {}, [m if isinstance(m, list) else m.split(" ") for m in rules["model"]["merges"]]
+        single = len(letters)
+        plain = rules["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True)
+        plain = plain and not before.get("add_prefix_space") and all(len(p) == 1 for p in self.pieces[:single])
+        self.ranks = None
+        if plain and names[single : single + len(merges)] == ["".join(m) for m in merges]:
+            ranked = self.pieces[: single + len(merges)]
+            self.ranks = tiktoken.Encoding("ranks", pat_str=CUT, mergeable_ranks={p: i for i, p in enumerate(ranked)}, special_tokens={})
+
+    def ask(self, text: str) -> list[int]:
+        if self.ranks and PLAIN.fullmatch(text):
+            return self.ranks.encode_ordinary(" " + text)
+        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
 
 
 class Pieces(Side):
@@ -119,8 +112,8 @@ class Pieces(Side):
 
         super().__init__([piece(i) for i in range(self.model.get_piece_size())])
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+    def ask(self, text: str) -> list[int]:
+        return self.model.encode(text)
 
 
 @lru_cache(maxsize=1)
@@ -170,12 +163,12 @@ def _covering(starts: np.ndarray, doc: np.ndarray, by: np.ndarray, by_doc: np.nd
 def align_texts(texts: list[str | None], a_side: Side, b_side: Side) -> Aligned:
     """Align both sides of every whole text. A text one side does not give back byte for byte has no tokens."""
     texts = [t or "" for t in texts]
-    a_ids, b_ids = a_side.encode(texts), b_side.encode(texts)
-    for i, t in enumerate(texts):
-        whole = b" " + t.encode("utf-8", "surrogatepass")
-        same = t and all(b"".join(map(s.pieces.__getitem__, x.tolist())) == whole for s, x in ((a_side, a_ids[i]), (b_side, b_ids[i])))
-        if not same:
-            a_ids[i] = b_ids[i] = np.zeros(0, np.int64)
+    none, a_ids, b_ids = np.zeros(0, np.int64), [], []
+    for t in texts:
+        x = a_side.encode(t) if t else None
+        y = b_side.encode(t) if x is not None else None
+        a_ids.append(none if y is None else x)
+        b_ids.append(none if y is None else y)
     (a, n_a), (b, n_b) = _flat(a_ids), _flat(b_ids)
     docs = np.arange(len(texts))
     doc_a, doc_b = np.repeat(docs, n_a), np.repeat(docs, n_b)
@@ -252,16 +245,20 @@ def chunk_rows(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id"
                 x = align_texts(_texts(part), a_side, b_side)
                 pair, link, times = np.unique(x.a[x.link_a] << WORD | x.b[x.link_b], return_inverse=True, return_counts=True)
                 shas = [hashlib.sha256(g).hexdigest() if g else "" for g in group_texts(x, a_side, b_side)]
+                # The order of a document's links does not matter; sorted, their gaps are small and pack well.
+                doc = np.repeat(np.arange(len(part)), x.n_links)
+                gaps = np.diff(np.sort(doc << WORD | link) & ((1 << WORD) - 1), prepend=0)
+                packed = zstandard.compress(gaps.astype("<i4").reshape(-1, 1).view(np.uint8).T.tobytes(), 3)
                 row = {
                     "chunk": chunk, "ids": part["doc_id"].to_numpy(object), "n_a": x.n_a, "n_b": x.n_b, "n_groups": x.n_groups,
-                    "n_links": x.n_links, "groups_sha256": shas, "pairs": pair, "times": times, "links": link.astype(np.int32),
+                    "n_links": x.n_links, "groups_sha256": shas, "pairs": pair, "times": times, "links": packed,
                 }
                 yield pd.DataFrame({c: pd.Series([v], dtype=object if c != "chunk" else None) for c, v in row.items()})
                 chunk += 1
 
     kind = dict(docs.dtypes)[doc_id]
     counts = ", ".join(f"{c} array<long>" for c in ("n_a", "n_b", "n_groups", "n_links"))
-    schema = f"chunk long, ids array<{kind}>, {counts}, groups_sha256 array<string>, pairs array<long>, times array<long>, links array<int>"
+    schema = f"chunk long, ids array<{kind}>, {counts}, groups_sha256 array<string>, pairs array<long>, times array<long>, links binary"
     rows_of = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return settle(rows_of.mapInPandas(rows, schema))
 
@@ -298,9 +295,11 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
         for batch in batches:
             for r in batch.itertuples(index=False):
                 sums = np.zeros((2, len(r.ids)), np.int64)
-                if len(r.links):
+                planes = np.frombuffer(zstandard.decompress(r.links), np.uint8).reshape(4, -1)
+                links = np.cumsum(np.ascontiguousarray(planes.T).view("<i4").ravel(), dtype=np.int64)
+                if len(links):
                     values = np.stack([np.asarray(r.best).astype(np.int64), np.asarray(r.n, np.int64)])
-                    upto = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values[:, r.links], axis=1)], axis=1)
+                    upto = np.concatenate([np.zeros((2, 1), np.int64), np.cumsum(values[:, links], axis=1)], axis=1)
                     ends = np.cumsum(r.n_links)
                     sums = upto[:, ends] - upto[:, ends - r.n_links]
                 yield pd.DataFrame(
