@@ -149,6 +149,7 @@ class Scanner:
         words = [w for w in words if w]
         joined = " " + b" ".join(words).decode("utf-8", "replace") + " "
         starts, base, labels, sure, tagged = [], set(), set(), {}, False
+        at = blanks = 0  # blanks before a place in the text, counted on from match to match
         for end, (back, what) in self.automaton.iter(joined):
             for kind, label in what:
                 if kind == "tag":
@@ -158,7 +159,10 @@ class Scanner:
                 sure[label] = max(sure.get(label, 0.0), WEIGHT[kind])
                 if kind == "base":
                     base.add(label)
-                    starts.append(joined.count(" ", 0, end - back))
+                    place = end - back
+                    blanks += joined.count(" ", at, place) if place >= at else -joined.count(" ", place, at)
+                    at = place
+                    starts.append(blanks)
         found = [e for m in TAG_TEXT.finditer(raw) if (e := parse(raw, m.end()))] if tagged else []
         for e in found:
             labels |= e.licences

@@ -57,6 +57,13 @@ def test_base_phrases(text):
     assert licenses.Scanner()(text)[:5] == slow(text)
 
 
+def test_many_matches_are_counted_once_each():
+    text = "cc by mit license gnu general public license apache license " * 40_000
+    found = licenses.Scanner()(text)
+    assert found[:4] == (400_000, 160_000, 0, 399_998)
+    assert licenses.Scanner()(text[:6000])[:5] == slow(text[:6000])
+
+
 def test_tags_and_notices():
     got = licenses.Scanner()("// SPDX-License-Identifier: (Apache-2.0 OR MIT)\nAll rights reserved.\nspdx-license-identifier: GPL-2.0-only")
     assert got[4] == "" and got[5] == "apache,gpl,mit,proprietary" and got[8] == 2
