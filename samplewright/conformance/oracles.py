@@ -517,6 +517,12 @@ def oracles() -> dict[str, str]:
         "QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) = 1",
         "p_kth_row": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer "
         "QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) = 2",
+        "p_kth_row_deep": "SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity, l_extendedprice FROM lineitem "
+        "QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_quantity, l_linenumber, l_orderkey) = 5000",
+        "p_window_agg_hot": "WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, "
+        "(CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_orderkey END)::BIGINT AS g FROM lineitem) SELECT *, "
+        "count(*) OVER w AS group_n, max(l_extendedprice) OVER w AS group_top, sum(l_quantity) OVER w AS group_quantity "
+        "FROM l WINDOW w AS (PARTITION BY g)",
         "p_row_number": "SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, "
         "row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS row_number FROM customer",
         "p_lag": "SELECT s_nationkey, s_suppkey, s_acctbal, lag(s_acctbal) OVER (ORDER BY s_nationkey, s_suppkey) AS lagged FROM supplier",

@@ -719,6 +719,25 @@ def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.kth_row_per_group(customers(spark, sf_dir), G, [V, UNIT], 2)
 
 
+LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice"]
+
+
+@query("p_kth_row_deep")
+def _kth_row_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").select("l_returnflag", *LINE)
+    return reshape.kth_row_per_group(lines, "l_returnflag", ["l_extendedprice", "l_quantity", "l_linenumber", "l_orderkey"], 5000)
+
+
+@query("p_window_agg_hot")
+def _window_agg_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group holds a third of the rows, the others a few each."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        *LINE, F.when(F.col("l_orderkey") % 3 == 0, 0).otherwise(F.col("l_orderkey")).cast("long").alias("g")
+    )
+    stats = {"group_n": F.count(F.lit(1)), "group_top": F.max("l_extendedprice"), "group_quantity": F.sum("l_quantity")}
+    return reshape.add_group_stats(lines, "g", **stats)
+
+
 @query("p_row_number")
 def _(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.group_row_number(customers(spark, sf_dir), G, [V, UNIT])

@@ -130,6 +130,34 @@ def group_row_number(
     return placed.select(*df.columns, (F.col("_start") + 1).cast("long").alias(name))
 
 
+def select_kth(df: DataFrame, by: str | Sequence[str] | None, order: str | Sequence[str], k: int) -> DataFrame:
+    """Row ``k`` (from 1) of each group, or of the table, for any ``k``; groups with fewer rows give none.
+
+    Rows are range-partitioned on (by, order) and counted by (group, range); the counts tell which range of a group holds
+    its row ``k``, and only these ranges are sorted. Rows equal in all columns are counted first, as no range could split them.
+    """
+    by, order = columns(by), columns(order)
+    ties = _tie_break(df, by + order)
+    if any("map<" in f.dataType.simpleString() for f in df.schema):
+        counted = df.withColumn("_n", F.lit(1).cast("long"))
+    else:
+        counted = df.groupBy(*map(quoted, df.columns)).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = counted.repartitionByRange(shuffle_partitions(df.sparkSession), *_ascending(by + order), *map(F.expr, ties))
+    ranged = settle(ranged.withColumn("_bucket", F.spark_partition_id()))
+    keyed = ranged.selectExpr("*", f"{null_safe(*by)} AS _key")
+    sizes = keyed.groupBy("_key", "_bucket").agg(F.sum("_n").alias("_rows"))
+    earlier = W.partitionBy("_key").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_rows").over(earlier), F.lit(0))
+    holding = sizes.select("_key", "_bucket", "_rows", before.alias("_before")).filter(
+        (F.col("_before") < k) & (F.col("_before") + F.col("_rows") >= k)
+    )
+    running = f"sum(_n) OVER (PARTITION BY _key, _bucket ORDER BY {', '.join([_ascending_sql(order), *ties])} " + (
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    )
+    inside = keyed.join(holding.drop("_rows"), ["_key", "_bucket"]).selectExpr("*", f"_before + {running} AS _upto")
+    return inside.filter((F.col("_upto") >= k) & (F.col("_upto") - F.col("_n") < k)).select(*map(quoted, df.columns))
+
+
 def row_index(df: DataFrame, order: str | Sequence[str], name: str = "row_index") -> DataFrame:
     """Dense 0-based position of every row in the whole table.
 

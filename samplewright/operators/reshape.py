@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from samplewright.operators.ordering import columns, row_index
+from samplewright.operators.ordering import columns, row_index, select_kth
+from samplewright.session import settle, shuffle_partitions
+
+# Few enough rows of aggregates to broadcast, and few enough rows for a window to keep of each group in every task.
+FEW_GROUPS = 10_000
+SHALLOW = 1_000
 
 
 def clean_name(name: str) -> str:
@@ -124,16 +129,26 @@ def unnest(df: DataFrame, c: str = "data") -> DataFrame:
 def add_group_stats(df: DataFrame, g: str | Sequence[str], **aggregates: object) -> DataFrame:
     """Aggregates of its group on every row.
 
-    Aggregate and join instead of a window, which would sort a hot group in one task.
+    Aggregate and join instead of a window, which would sort a hot group in one task. The aggregates are stored with the
+    sizes of the groups. Up to ``FEW_GROUPS`` groups are broadcast. Of more, the heavy ones, with more rows than a shuffle
+    partition has on average, are fewer than there are partitions: they are broadcast, and only rows of the others are
+    shuffled to their aggregates.
     """
     g = columns(g)
-    stats = df.groupBy(*g).agg(*[a.alias(n) for n, a in aggregates.items()])
-    renamed = stats.select(*[F.col(c).alias(f"_{c}") for c in g], *aggregates)
+    stats = df.groupBy(*g).agg(*[a.alias(n) for n, a in aggregates.items()], F.count(F.lit(1)).alias("_rows"))
+    stats = settle(stats.select(*[F.col(c).alias(f"_{c}") for c in g], *aggregates, "_rows"))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in g]
     on = same[0]
     for s in same[1:]:
         on = on & s
-    return df.join(renamed, on).select(*df.columns, *aggregates)
+    groups, rows = stats.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    named = [*df.columns, *aggregates]
+    if groups <= FEW_GROUPS:
+        return df.join(F.broadcast(stats), on).select(*named)
+    hot = F.col("_rows") > rows // shuffle_partitions(df.sparkSession)
+    heavy = F.broadcast(stats.filter(hot))
+    light = df.join(heavy, on, "left_anti").join(stats.filter(~hot), on)
+    return df.join(heavy, on).select(*named).union(light.select(*named))
 
 
 def add_table_stats(df: DataFrame, **aggregates: object) -> DataFrame:
@@ -147,9 +162,13 @@ def kth_row_per_group(
 ) -> DataFrame:
     """Row ``k`` (from 1) of each group, or of the table, in the given order.
 
-    As only the first ``k`` rows of a group matter, every task drops the others before the shuffle: a limit of a
-    window on ``row_number``, or of a sort where there is no group. A hot group sends ``k`` rows per task.
+    Up to ``SHALLOW`` rows deep, every task drops all but the first ``k`` rows of a group before the shuffle: a limit of
+    a window on ``row_number``, or of a sort where there is no group. Deeper rows are found by
+    :func:`samplewright.operators.ordering.select_kth`, which sorts one range of each group. Both take the same row but
+    for rows that tie in ``order``, of which any may be taken.
     """
+    if k > SHALLOW:
+        return select_kth(df, g, order, k)
     order = [F.col(c).asc_nulls_last() for c in columns(order)]
     if columns(g):
         numbered = df.withColumn("_number", F.row_number().over(W.partitionBy(*columns(g)).orderBy(*order)))

@@ -1,4 +1,5 @@
 import os
+import random
 from types import SimpleNamespace
 
 import pytest
@@ -153,6 +154,42 @@ def test_kth_row(spark):
     assert [tuple(r) for r in reshape.kth_row_per_group(df, None, "v", 4).collect()] == [("b", 7)]
 
 
+@pytest.mark.parametrize("k", [1, 3, 700, 1400, 5000])
+def test_any_kth_row_by_selection(spark, k):
+    rng = random.Random(k)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, *range(40)]), rng.randint(0, 9)) for _ in range(2000)]
+    rows += [("a", 7, 7)] * 1500  # rows that cannot be told apart
+    df = spark.createDataFrame(rows, "g string, v int, u int")
+    end = lambda x: (x is None, x or 0)
+    for by in ("g", None):
+        groups = {}
+        for r in sorted(rows, key=lambda r: (end(r[1]), end(r[2]), end(r[0]) if not by else 0)):
+            groups.setdefault(r[0] if by else 0, []).append(r)
+        order = ["v", "u"] if by else ["v", "u", "g"]
+        got = [tuple(r) for r in ordering.select_kth(df, by, order, k).collect()]
+        assert sorted(map(str, got)) == sorted(str(x[k - 1]) for x in groups.values() if len(x) >= k)
+
+
+def test_kth_row_changes_its_way_at_depth_not_its_row(spark, monkeypatch):
+    df = spark.range(5000).selectExpr("id % 3 AS g", "id * 7919 % 5003 AS v")
+    want = sorted(map(tuple, reshape.kth_row_per_group(df, "g", "v", 900).collect()))
+    monkeypatch.setattr(reshape, "SHALLOW", 10)
+    assert sorted(map(tuple, reshape.kth_row_per_group(df, "g", "v", 900).collect())) == want and len(want) == 3
+
+
+def test_group_stats_of_heavy_and_light_groups(spark, monkeypatch):
+    df = spark.range(6000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN -1 ELSE id END AS g", "id AS v")
+    few = reshape.add_group_stats(df, "g", n=F.count(F.lit(1)), top=F.max("v"))
+    monkeypatch.setattr(reshape, "FEW_GROUPS", 100)
+    many = reshape.add_group_stats(df, "g", n=F.count(F.lit(1)), top=F.max("v"))
+    assert many.columns == ["g", "v", "n", "top"] and "Union" in many._jdf.queryExecution().toString()
+    end = lambda x: (x.g is None, x.g or 0, x.v)
+    rows = sorted(many.collect(), key=end)
+    assert rows == sorted(few.collect(), key=end) and len(rows) == 6000
+    assert {r.n for r in rows if r.g is None or r.g == -1} == {2000}
+    assert reshape.add_group_stats(df.limit(0), "g", n=F.count(F.lit(1))).count() == 0
+
+
 def test_the_cleaning_study(spark, tmp_path):
     text = "rep;Species one;Species two;Bad one\n" + "".join(f"{r};{r},5;-{r},25;oops\n" for r in range(1, 41))
     path = tmp_path / "raw.csv"
