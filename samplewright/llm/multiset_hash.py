@@ -1,13 +1,15 @@
 """Homomorphic multiset fingerprints of documents: sums of wide vectors hashed from their paragraphs.
 
-A paragraph is hashed in pieces, runs of at most four words of a sentence, so that an edit changes a part of its
-vector only. Two 64-bit hashes give a piece a vector of 126 bits and four numbers of 32 bits; a paragraph's vector is
-the sum of its pieces', a document's fingerprint the sum of its paragraphs', the bits modulo ``2 ** 21`` (three lanes
-in a long), the numbers modulo ``2 ** 32``. Order therefore does not matter, and a paragraph is inserted or deleted
-by adding or subtracting its vector.
+A paragraph is a line with anything but white space, without the white space around it. Two 64-bit hashes of a whole
+paragraph give four numbers of 32 bits, summed over the paragraphs modulo ``2 ** 32``: they tell texts apart that differ
+in a paragraph's order of words, or in where paragraphs end. Besides, a paragraph is hashed in pieces, runs of at most
+four words of a sentence, so that an edit changes a part of its vector only. The two hashes of a piece are 126 bits, summed
+modulo ``2 ** 21`` (three lanes in a long). Order of paragraphs therefore does not matter, and a paragraph is inserted
+or deleted by adding or subtracting its vector.
 
-The bits serve for likeness too: ``2 * ones - n`` is a sum of random signs, so the squared distance of two
-fingerprints, averaged over the lanes, estimates how many pieces they do not share (Alon, Matias and Szegedy).
+The bits serve for likeness: ``2 * ones - n`` is a sum of random signs, so the squared distance of two
+fingerprints, averaged over the lanes, estimates how many pieces they do not share (Alon, Matias and Szegedy). Sums of
+lanes are taken modulo ``2 ** 21``, so likeness holds for texts of fewer than two million pieces; equality holds for all.
 
 Column expressions only; a row needs no other row.
 """
@@ -15,6 +17,7 @@ Column expressions only; a row needs no other row.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,32 +27,54 @@ from samplewright.llm.common import KEY, identified
 from samplewright.session import shuffle_partitions
 
 PIECE = r"(?:\S*[^\s.!?][ \t]+){0,3}\S+"
+SPACE = " \t\n\x0b\f\r"  # what white space is in PIECE
 LANE_BITS = 21
 LANE = (1 << LANE_BITS) - 1
 TAKE = 1 | 1 << LANE_BITS | 1 << 2 * LANE_BITS  # one bit of each of the three lanes of a long
 WORDS = 2 * LANE_BITS  # longs that hold the 126 lanes
+TOP = TAKE << (LANE_BITS - 1)  # the highest bit of each lane
 WIDE = (1 << 32) - 1
+SAFE = 1 << 20  # so many pieces cannot fill a lane
+
+
+def _hashed(texts: Column) -> Column:
+    return F.transform(texts, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(9), p).alias("b")))
 
 
 def piece_hashes(text: Column) -> Column:
     """Two hashes of every piece of every paragraph."""
-    pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0))
-    return F.transform(pieces, lambda p: F.struct(F.xxhash64(p).alias("a"), F.xxhash64(F.lit(9), p).alias("b")))
+    return _hashed(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(0)))
+
+
+def paragraph_hashes(text: Column) -> Column:
+    """Two hashes of every whole paragraph."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.trim(x, F.lit(SPACE)))
+    return _hashed(F.filter(lines, lambda x: x != ""))
 
 
 def _total(hashes: Column, part) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + part(h))
 
 
-def vector(hashes: Column) -> Column:
-    """(n, lanes, wide): number of pieces, 42 longs of three lanes, four sums modulo 2**32."""
+def _lane_total(hashes: Column, part) -> Column:
+    """As ``_total`` for three lanes at once. Where a lane may overflow, its highest bit is added without a carry."""
+    apart = F.aggregate(
+        hashes,
+        F.lit(0).cast("long"),
+        lambda s, h: (s.bitwiseAND(F.lit(~TOP)) + part(h)).bitwiseXOR(s.bitwiseAND(F.lit(TOP))),
+    )
+    return F.when(F.size(hashes) <= SAFE, _total(hashes, part)).otherwise(apart)
+
+
+def vector(hashes: Column, paragraphs: Column) -> Column:
+    """(n, lanes, wide): number of pieces, 42 longs of three lanes, four sums modulo 2**32 over whole paragraphs."""
     lanes = [
-        _total(hashes, lambda h, f=f, k=k: F.shiftrightunsigned(h[f], k).bitwiseAND(F.lit(TAKE)))
+        _lane_total(hashes, lambda h, f=f, k=k: F.shiftrightunsigned(h[f], k).bitwiseAND(F.lit(TAKE)))
         for f in "ab"
         for k in range(LANE_BITS)
     ]
     wide = [
-        _total(hashes, lambda h, f=f, k=k: F.shiftrightunsigned(h[f], k).bitwiseAND(F.lit(WIDE))).bitwiseAND(F.lit(WIDE))
+        _total(paragraphs, lambda h, f=f, k=k: F.shiftrightunsigned(h[f], k).bitwiseAND(F.lit(WIDE))).bitwiseAND(F.lit(WIDE))
         for f in "ab"
         for k in (0, 32)
     ]
@@ -114,8 +139,9 @@ def likeness(x: Column, y: Column) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of every whole text as a struct; NULL is read as an empty text."""
-    hashed = docs.select("*", piece_hashes(F.col(text).cast("string")).alias("_hashes"))
-    return hashed.select(*docs.columns, vector(F.col("_hashes")).alias(name))
+    body = F.col(text).cast("string")
+    hashed = docs.select("*", piece_hashes(body).alias("_hashes"), paragraph_hashes(body).alias("_paragraphs"))
+    return hashed.select(*docs.columns, vector(F.col("_hashes"), F.col("_paragraphs")).alias(name))
 
 
 def _place(key: Column, bounds: list[int]) -> Column:
@@ -130,12 +156,12 @@ def _place(key: Column, bounds: list[int]) -> Column:
     return k * step + F.size(F.filter(F.coalesce(F.get(inner, k), F.array().cast("array<bigint>")), lambda b: b < key))
 
 
-def with_next(keyed: DataFrame, carry: list[str]) -> DataFrame:
+def with_next(keyed: DataFrame, carry: list[str], adding: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``keyed`` (unique ``_doc``) with ``next_*`` of the row with the next smaller key; the smallest gets the largest's.
 
     Rows are cut into ranges of the key at approximate quantiles, so the texts are shuffled once and no task gets more
     than its range. The first row of every range goes along to the range before as well, behind that range's own rows.
-    The driver sees the bounds and the largest key of each range, four times as many as there are shuffle partitions.
+    Columns that ``adding`` adds are worked out once for each of these rows. The driver sees the bounds and the largest key of each range, four times as many as there are shuffle partitions.
     """
     spark = keyed.sparkSession
     ranges = 4 * shuffle_partitions(spark)
@@ -146,10 +172,11 @@ def with_next(keyed: DataFrame, carry: list[str]) -> DataFrame:
     before = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]
     to = spark.createDataFrame(before, f"{KEY} long, _range int")
     also = keyed.join(F.broadcast(to), KEY).withColumn("_also", F.lit(True))
-    both = cut.withColumn("_also", F.lit(False)).unionByName(also)
+    both = adding(cut.withColumn("_also", F.lit(False)).unionByName(also))
+    added = [c for c in both.columns if c not in (*keyed.columns, "_range", "_also")]
     lead = F.lead(F.struct(*carry)).over(W.partitionBy("_range").orderBy("_also", F.col(KEY).desc()))
     own = both.withColumn("_next", lead).filter(~F.col("_also"))
-    return own.select(*keyed.columns, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carry])
+    return own.select(*keyed.columns, *added, *[F.col(f"_next.{c}").alias(f"next_{c}") for c in carry])
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -167,7 +194,7 @@ def compare_edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     keyed = identified(docs, doc_id).select(
         KEY, F.col(f"row.{doc_id}").alias("doc_id"), F.coalesce(F.col(f"row.{text}").cast("string"), F.lit("")).alias("body")
     )
-    follow = with_next(fingerprints(keyed, "body", "fp"), ["body", "fp"])
+    follow = with_next(keyed, ["body", "fp"], adding=lambda df: fingerprints(df, "body", "fp"))
     out = fingerprints(follow.withColumn("changed", edited(F.col("body"), F.col("next_body"))), "changed", "fe")
     return out.select(
         "doc_id",

@@ -18,9 +18,11 @@ def digits(text):
     """The same sums in plain Python."""
     pieces = re.findall(m.PIECE, text or "", re.ASCII)
     nine = xxhash.xxh64_intdigest((9).to_bytes(4, "little"), 42)
-    h = [(xxhash.xxh64_intdigest(p.encode(), 42), xxhash.xxh64_intdigest(p.encode(), nine)) for p in pieces]
+    two = lambda p: (xxhash.xxh64_intdigest(p.encode(), 42), xxhash.xxh64_intdigest(p.encode(), nine))
+    h = [two(p) for p in pieces]
+    whole = [two(x.strip(m.SPACE)) for x in (text or "").split("\n") if x.strip(m.SPACE)]
     lanes = [sum(x[f] >> k & m.TAKE for x in h) & MASK for f in (0, 1) for k in range(21)]
-    wide = [sum(x[f] >> k & m.WIDE for x in h) & m.WIDE for f in (0, 1) for k in (0, 32)]
+    wide = [sum(x[f] >> k & m.WIDE for x in whole) & m.WIDE for f in (0, 1) for k in (0, 32)]
     return "".join(f"{v:016x}" for v in lanes) + "".join(f"{v:08x}" for v in wide)
 
 
@@ -34,9 +36,10 @@ def pairs(spark, rows):
 
 def test_order_does_not_matter_and_content_does(spark):
     a = "One line here.\nAnother one. And a third with many words in it!\n"
-    rows = pairs(spark, [(a, "And a third with many words in it!\nOne line here.\nAnother one."), (a, a + "x"), ("b b", "b\nb"), (None, " \n")])
-    assert [r.dx == r.dy for r in rows] == [True, False, False, True]
-    assert [r.like == 1 for r in rows] == [True, False, False, True]
+    same, cut = "Another one. And a third with many words in it!\n\nOne line here.", "And a third with many words in it!\nOne line here.\nAnother one."
+    rows = pairs(spark, [(a, same), (a, a + "x"), ("b b", "b\nb"), (None, " \n"), (a, cut)])
+    assert [r.dx == r.dy for r in rows] == [True, False, False, True, False]
+    assert [r.like == 1 for r in rows] == [True, False, False, True, True]  # the last has all its pieces in common
     assert all(r.dx == digits(r.a) and r.dy == digits(r.b) for r in rows)
 
 
@@ -68,6 +71,29 @@ def test_paragraphs_are_inserted_and_deleted(spark):
     assert row.added and row.taken
 
 
+def test_order_inside_a_paragraph_and_breaks_count(spark):
+    texts = ["a b c d\ne f g h", "a b c d e f g h", "e f g h a b c d", "One two. Three four.", "Three four. One two."]
+    rows = pairs(spark, [(x, y) for x in texts for y in texts])
+    assert all((r.dx == r.dy) == (r.a == r.b) for r in rows)
+    shuffled = pairs(spark, [("x y.\n a b c\n\nz", "z\na b c \t\n x y.")])[0]
+    assert shuffled.dx == shuffled.dy and shuffled.like == 1
+    assert min(r.like for r in rows if r.a.split()[0] in "ae" and r.b.split()[0] in "ae") > 0.5
+
+
+def test_lanes_do_not_carry(spark):
+    n = (1 << 21) + 5
+    odd, even = (1 << 63) - 1, 0x2AAAAAAAAAAAAAAA
+    h = F.array_repeat(F.struct((F.col("id") + odd).alias("a"), (F.col("id") + even).alias("b")), n)
+    df = spark.range(1).select(h.alias("h")).select(
+        *[m._lane_total(F.col("h"), lambda x, f=f, k=k: F.shiftrightunsigned(x[f], k).bitwiseAND(F.lit(m.TAKE))).alias(f"{f}{k}") for f in "ab" for k in (0, 1)]
+    )
+    row = df.first()
+    for f, bits in (("a", odd), ("b", even)):
+        for k in (0, 1):
+            want = sum((n * (bits >> k + s & 1) & m.LANE) << s for s in (0, 21, 42))
+            assert row[f"{f}{k}"] == want
+
+
 def expected(rows):
     """rows: (doc_id, text) by descending id."""
     out = {}
