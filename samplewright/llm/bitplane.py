@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -46,7 +46,10 @@ LETTERS = re.compile("[a-zß-öø-ÿ]+")
 # Byte-level vocabularies write a byte as a letter: printable ones as they are, the others from 256 on.
 PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
-STOP = re.compile(r"(?<=[a-z])([.,])(?= |$)")
+# Words of Latin letters, digits and ASCII signs, and the pieces that the vocabulary's rules part them into once lowered.
+PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
+SAMPLES = ("a", "the", "word", "straße", "ñandú", "éöÿ", "don't", "''s", "a'return.", "Ñu-2024,", "<a@b-3.com>", "x__y/~$%", "(12.5)[]")
 MEMO = 200_000  # words remembered, and as many older ones
 
 
@@ -133,29 +136,36 @@ class Shard:
 class _Memo(dict):
     """Ids of the words met lately: when it is full, its words become the older half, and come back when they are used."""
 
-    def __init__(self) -> None:
+    def __init__(self, ids: Callable[[str], bytes]) -> None:
         super().__init__()
         self.older: dict[str, bytes] = {}
+        self.ids = ids
+        self.stops = {c: ids(c) for c in ".,"}
 
     def __missing__(self, w: str) -> bytes:
-        found = self[w] = self.older[w]
+        found = self.older.get(w)
+        if found is None:
+            # A stop behind a letter is a piece of its own: not kept with the word, so that fewer words fill the memo.
+            stop = self.stops.get(w[-1:])
+            if stop and "a" <= w[-2:-1] <= "z":
+                return self[w[:-1]] + stop
+            found = self.ids(w)
+        self[w] = found
         return found
 
-    def unknown(self, words: list[str]) -> list[str]:
+    def turn(self) -> None:
         if len(self) > MEMO:
             self.older = dict(self)
             self.clear()
-        older = self.older
-        return [w for w in set(words) if w not in self and w not in older]
 
 
 class Tokenizer:
     """Whole texts to ids, word by word: the vocabulary drops white space, so words between blanks stand alone.
 
     The ids of words are remembered, as words repeat. Blanks and line breaks only part words here; what other
-    white space there is, the vocabulary's own rules see. A-Z are lowered and a full stop or comma behind a letter is
-    parted from it beforehand, which the rules would do anyway, so that fewer different words are met; a text that might
-    hold a special token is left alone.
+    white space there is, the vocabulary's own rules see. A-Z are lowered beforehand, which the rules would do anyway, so
+    that fewer different words are met; a text that might hold a special token is left alone. Where the rules are those of
+    ``PIECES``, the pieces of plain words go to the merges as they are.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
@@ -163,43 +173,42 @@ class Tokenizer:
 
         self.inner = Loaded.from_file(path)
         self.merges = self.inner.model
-        self.memo = _Memo()
-        self.direct = False
-        self.direct = all(self._letters(w) == self._rules([w])[0] for w in ("a", "the", "word", "straße", "ñandú", "éöÿ"))
+        self.direct = all(self._pieces(w) == self._rules(w) for w in SAMPLES)
+        self.memo = _Memo(self._ids)
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def _letters(self, word: str) -> bytes:
-        """Ids of a word of small letters: nothing to normalise or to part, so its bytes go to the merges as they are."""
+    def _letters(self, word: str) -> list[int]:
+        """Ids of a piece: nothing to normalise or to part, so its bytes go to the merges as they are."""
         if not word.isascii():
             word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = [t.id for t in self.merges.tokenize(word)]
+        return [t.id for t in self.merges.tokenize(word)]
+
+    def _pieces(self, word: str) -> list[int]:
+        """Ids of a plain word without special tokens."""
+        return [i for piece in PIECES.findall(word.lower()) for i in self._letters(piece)]
+
+    def _rules(self, word: str) -> list[int]:
+        """Ids of any word, by all rules of the vocabulary."""
+        return self.inner.encode(word, add_special_tokens=False).ids
+
+    def _ids(self, word: str) -> bytes:
+        if not self.direct:
+            ids = self._rules(word)
+        elif LETTERS.fullmatch(word):
+            ids = self._letters(word)
+        elif PLAIN.fullmatch(word) and "<|" not in word:
+            ids = self._pieces(word)
+        else:
+            ids = self._rules(word)
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _rules(self, words: list[str]) -> list[bytes]:
-        """Ids of any words, by all rules of the vocabulary."""
-        found = self.inner.encode(words, is_pretokenized=True, add_special_tokens=False)
-        data = np.array(found.ids, "<u4").tobytes()
-        ends = (4 * np.searchsorted(found.word_ids, np.arange(len(words)), "right")).tolist()
-        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-
     def __call__(self, text: str | None) -> bytes:
         """Ids with the end id, as little-endian unsigned 32-bit integers."""
         words = (text or "").replace("\n", " ")
         if "<|" not in words:
-            words = STOP.sub(r" \1", words.encode("utf-8", "replace").lower().decode())
-        words = words.split(" ")
-        new = self.memo.unknown(words)
-        other = new
-        if self.direct:
-            other = []
-            for w in new:
-                if LETTERS.fullmatch(w):
-                    self.memo[w] = self._letters(w)
-                else:
-                    other.append(w)
-        for i in range(0, len(other), 10_000):
-            self.memo.update(zip(other[i : i + 10_000], self._rules(other[i : i + 10_000]), strict=True))
-        return b"".join(map(self.memo.__getitem__, words)) + self.end
+            words = words.encode("utf-8", "replace").lower().decode()
+        self.memo.turn()
+        return b"".join(map(self.memo.__getitem__, words.split(" "))) + self.end
 
 
 @lru_cache(maxsize=1)

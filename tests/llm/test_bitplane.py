@@ -46,7 +46,30 @@ def test_words_alone_give_the_ids_of_the_whole_text(pieces):
     assert np.frombuffer(TOKENIZER(text), "<u4").tolist() == want
 
 
-TOKENIZER = bitplane.Tokenizer(PATH, 1)
+@given(st.text(st.sampled_from("abstrevmld'''ABS09.,.,!?$%&#*@/<>()-_~ß÷×àéÿÀÉØÞªµ²\u0301\xa0  "), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_pieces_give_the_ids_of_the_whole_text(text):
+    want = WHOLE.encode(text, add_special_tokens=False).ids + [1]
+    assert np.frombuffer(TOKENIZER(text), "<u4").tolist() == want
+
+
+def test_plain_words_do_not_need_all_rules():
+    tokenizer = bitplane.Tokenizer(PATH, 1)
+    tokenizer.inner = None
+    for text in ("Words. and, signs%%% re*** this.### (12.5) 555-2485 a.b@c-3.com don't", "Èonai ÇPA!! straße, réré. éé.", "  \n "):
+        assert np.frombuffer(tokenizer(text), "<u4").tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_ids_stay_when_the_memo_turns(monkeypatch):
+    monkeypatch.setattr(bitplane, "MEMO", 3)
+    tokenizer = bitplane.Tokenizer(PATH, 1)
+    for i in range(30):
+        text = f"word{i % 7} other. w{i % 5}x, a{i}. tail"
+        assert np.frombuffer(tokenizer(text), "<u4").tolist() == [*WHOLE.encode(text, add_special_tokens=False).ids, 1]
+        assert len(tokenizer.memo) <= 3 + 5 and len(tokenizer.memo.older) <= 3 + 5
+
+
+TOKENIZER, WHOLE = bitplane.Tokenizer(PATH, 1), Tokenizer.from_file(PATH)
 assert TOKENIZER.direct
 
 
