@@ -26,6 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -51,6 +53,7 @@ PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]*")
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+")
 SAMPLES = ("a", "the", "word", "straße", "ñandú", "éöÿ", "don't", "''s", "a'return.", "Ñu-2024,", "<a@b-3.com>", "x__y/~$%", "(12.5)[]")
 MEMO = 200_000  # words remembered, and as many older ones
+SLICE = 1 << 24  # bytes of text whose words are looked up at once
 
 
 def to_planes(ids: np.ndarray, block: int, bits: bool) -> list[bytes]:
@@ -175,7 +178,7 @@ class Tokenizer:
         self.merges = self.inner.model
         self.direct = all(self._pieces(w) == self._rules(w) for w in SAMPLES)
         self.memo = _Memo(self._ids)
-        self.end = np.array([end_id], "<u4").tobytes()
+        self.end_id = end_id
 
     def _letters(self, word: str) -> list[int]:
         """Ids of a piece: nothing to normalise or to part, so its bytes go to the merges as they are."""
@@ -202,13 +205,26 @@ class Tokenizer:
             ids = self._rules(word)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each with the end id, and how many each has.
+
+        Every different word of the texts is asked for once.
+        """
+        texts = pc.fill_null(texts, "")
+        lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        words = pc.split_pattern(pc.replace_substring(lowered, "\n", " "), " ")
+        met = words.flatten().dictionary_encode()
+        self.memo.turn()
+        known = [self.memo[w] for w in met.dictionary.to_pylist()]
+        starts = np.cumsum([0, *map(len, known)]) // 4
+        ids = pa.LargeListArray.from_arrays(starts, np.frombuffer(b"".join(known), "<u4")).take(met.indices)
+        upto = np.diff(words.offsets.to_numpy()).cumsum()
+        ends = ids.offsets.to_numpy()[upto] - ids.offsets[0].as_py()
+        return np.insert(ids.flatten().to_numpy(), ends, self.end_id), np.diff(ends, prepend=0) + 1
+
     def __call__(self, text: str | None) -> bytes:
         """Ids with the end id, as little-endian unsigned 32-bit integers."""
-        words = (text or "").replace("\n", " ")
-        if "<|" not in words:
-            words = words.encode("utf-8", "replace").lower().decode()
-        self.memo.turn()
-        return b"".join(map(self.memo.__getitem__, words.split(" "))) + self.end
+        return self.encode(pa.array([text], pa.string()))[0].tobytes()
 
 
 @lru_cache(maxsize=1)
@@ -217,6 +233,15 @@ def _tokenizer(path: str, end_id: int) -> Tokenizer:
     return Tokenizer(path, end_id)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of the rows with up to ``SLICE`` bytes of ``text``, or one row."""
+    upto, at = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy().cumsum(dtype=np.int64), 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def write_shards(
     keyed: DataFrame,
     tokenizer_path: str,
@@ -231,30 +256,32 @@ def write_shards(
     (part, shard) orders them. Texts are range-partitioned by the key, and a task holds one shard at a time.
     """
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode_text, part, shard = _tokenizer(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, part, shard = _tokenizer(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
         keys, ids, held = [], [], 0
 
-        def close() -> pd.DataFrame:
-            all_ids = np.frombuffer(b"".join(ids), "<u4")
-            content = encode(all_ids, keys, [len(i) // 4 for i in ids], bits)
-            return pd.DataFrame({"part": [part], "shard": [shard], "n_ids": [len(all_ids)], "content": [content]})
+        def close() -> pa.RecordBatch:
+            all_ids = np.concatenate(ids)
+            content = encode(all_ids, keys, [len(i) for i in ids], bits)
+            return pa.RecordBatch.from_pydict({"part": [part], "shard": [shard], "n_ids": [len(all_ids)], "content": [content]})
 
         for batch in batches:
-            for key, body in zip(batch[KEY], batch["text"], strict=True):
-                keys.append(key)
-                ids.append(encode_text(body))
-                held += len(ids[-1]) // 4
-                if held >= shard_ids:
-                    yield close()
-                    keys, ids, held, shard = [], [], 0, shard + 1
+            for some in slices(batch):
+                found, sizes = tokenizer.encode(some["text"])
+                for key, of_text in zip(some[KEY].to_pylist(), np.split(found, sizes.cumsum()[:-1]), strict=True):
+                    keys.append(key)
+                    ids.append(of_text)
+                    held += len(of_text)
+                    if held >= shard_ids:
+                        yield close()
+                        keys, ids, held, shard = [], [], 0, shard + 1
         if keys:
             yield close()
 
     path = path or scratch_path(keyed.sparkSession)
     schema = "part long, shard long, n_ids long, content binary"
     ordered = keyed.select(KEY, "text").repartitionByRange(KEY).sortWithinPartitions(KEY)
-    ordered.mapInPandas(shards, schema).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(shards, schema).write.option("compression", "none").parquet(path)
     return keyed.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,18 @@ def test_ids_stay_when_the_memo_turns(monkeypatch):
         assert len(tokenizer.memo) <= 3 + 5 and len(tokenizer.memo.older) <= 3 + 5
 
 
+def test_slices_of_a_batch_hold_every_row_once(monkeypatch):
+    monkeypatch.setattr(bitplane, "SLICE", 10)
+    texts = ["abc", None, "d" * 7, "e", "f" * 40, "", "ééé ééé", "g"]
+    batch = pa.RecordBatch.from_pydict({"_doc": list(range(len(texts))), "text": texts})
+    parts = [s.to_pydict() for s in bitplane.slices(batch)]
+    assert [p["_doc"] for p in parts] == [[0, 1, 2], [3], [4], [5], [6], [7]]
+    assert [t for p in parts for t in p["text"]] == texts
+    ids, sizes = TOKENIZER.encode(pa.array([t for p in parts for t in p["text"]]))
+    whole = [[*WHOLE.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert ids.tolist() == sum(whole, []) and sizes.tolist() == [len(w) for w in whole]
+
+
 TOKENIZER, WHOLE = bitplane.Tokenizer(PATH, 1), Tokenizer.from_file(PATH)
 assert TOKENIZER.direct
 
