@@ -166,3 +166,37 @@ def test_markup_is_read_once(spark):
     got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
     assert got == {**{i: f"own {i}" for i in range(7)}, 7: ""}
     assert reads.value == len(rows)
+
+
+def test_repeats_are_found_on_every_page(spark):
+    """Pages with a container of their article too: each is held against its host, and says how much of it repeats."""
+    menu = "<div><a>Home</a></div><div><a>News</a></div><div><a>About us</a></div>"
+    rows = [(i, "http://a.example/", f"{menu}<article><p>own {i}</p></article>") for i in range(3)]
+    rows += [(3, "http://a.example/", f"{menu}<div>no container</div>"), (4, "http://b.example/", f"{menu}<article>other host</article>")]
+    got = {r.page_id: (r.text, r.n_blocks, r.n_repeated) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: (f"own {i}", 4, 3) for i in range(3)}, 3: ("no container", 4, 3), 4: ("other host", 4, 0)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_extract_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    tags = [("<div>", "</div>"), ("<nav>", "</nav>"), ("<article>", "</article>")]
+    words = ["a b c d e f", "g", "h i", "j k"]
+    parts = {p: [(rng.choices(tags, [8, 2, 1 + p % 2])[0], rng.choice(words)) for _ in range(rng.randrange(0, 9))] for p in range(16)}
+    rows = [(p, f"http://h{p % 2}.example/", "".join(f"{a}{t}{b}" for (a, b), t in ts)) for p, ts in parts.items()]
+    blocks = {p: html_text.parse(h, f"h{p % 2}.example") for p, _, h in rows}
+    reach = slow_reach({p: (p % 2, [b[2] for b in bs]) for p, bs in blocks.items()})
+    want = {}
+    for p, bs in blocks.items():
+        size, covered = [len(b[0].split()) for b in bs], set()
+        for i in range(len(bs)):
+            k = reach.get((p, i), 0)
+            if k >= html_text.REPEAT_BLOCKS or sum(size[i : i + k]) >= html_text.REPEAT_WORDS:
+                covered.update(range(i, i + k))
+        may = [i for i, b in enumerate(bs) if b[1] == html_text.PLACE_OPEN]
+        copy = sum(size[i] for i in may if i in covered) > html_text.COPY * sum(size[i] for i in may if i not in covered)
+        gone = set() if copy else covered.intersection(may)
+        text = "\n".join(b[0] for i, b in enumerate(bs) if b[1] != html_text.PLACE_DROPPED and i not in gone)
+        want[p] = (text, len(text), len(bs), len(covered))
+    got = {r.page_id: tuple(r[2:]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want and any(b[1] == html_text.PLACE_ARTICLE for bs in blocks.values() for b in bs)

@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from samplewright.session import build_session, scratch, settle, shared_dir
+from samplewright.session import build_session, scratch, settle, shared_dir, shuffles_removed
 
 
 def tables(spark):
@@ -54,3 +54,19 @@ def test_a_local_session_without_a_folder_uses_its_warehouse(spark, monkeypatch)
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(Session())
     assert callable(build_session)
+
+
+def test_the_setting_of_shuffles_comes_back(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(RuntimeError), shuffles_removed(spark):
+        assert spark.conf.get(name) == "true" and settle(spark.range(9).groupBy("id").count()).count() == 9
+        raise RuntimeError
+    assert spark.conf.get(name) == before and name not in spark.conf.getAll
+    spark.conf.set(name, "true")
+    try:
+        with shuffles_removed(spark):
+            pass
+        assert spark.conf.get(name) == "true"
+    finally:
+        spark.conf.unset(name)
